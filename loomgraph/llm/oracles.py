@@ -7,9 +7,9 @@ from loomgraph.llm.queries import URL_LIST
 _CHANGES = ", ".join(f"('{n}', '{k}', '{a}', TIMESTAMP '{d}')" for n, k, a, d in URL_LIST)
 
 OP6_URL_FILTER = f"""
-WITH changes(name, kind, action, at) AS (VALUES {_CHANGES}),
-states AS (SELECT name, kind, at, max(CASE WHEN action = 'remove' THEN 1 ELSE 0 END) AS off FROM changes GROUP BY ALL),
-spans AS (SELECT name, kind, off, at AS valid_from, lead(at) OVER (PARTITION BY name, kind ORDER BY at) AS valid_to FROM states),
+WITH changes(name, kind, action, day) AS (VALUES {_CHANGES}),
+states AS (SELECT name, kind, day, max(CASE WHEN action = 'remove' THEN 1 ELSE 0 END) AS off FROM changes GROUP BY ALL),
+spans AS (SELECT name, kind, off, day AS valid_from, lead(day) OVER (PARTITION BY name, kind ORDER BY day) AS valid_to FROM states),
 lists AS (SELECT * FROM spans WHERE off = 0),
 base AS (
   SELECT page_id, url, TIMESTAMP '2024-01-01 12:00:00' + to_days(CAST((page_id * 37) % 366 AS INTEGER)) AS fetched_at,
