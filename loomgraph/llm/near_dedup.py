@@ -33,6 +33,8 @@ from loomgraph.llm.shingles import MinMax, normal_hashes, shingle_set
 
 FUNCTIONS, BANDS, ROWS = 64, 25, 5
 SHINGLE_WORDS = 5
+#: Ratio of the sizes within one band of partner sizes.
+BAND = 1.03
 
 _SIGNED = "doc_id long, digest binary, n_shingles long, bands array<long>"
 _SETS = "doc_id long, shingles binary"
@@ -118,7 +120,7 @@ def _prefixes(docs: DataFrame, texts_of: DataFrame, percent: int) -> DataFrame:
     often = words.groupBy("shingle").agg(F.count("*").alias("often"))
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("often", "shingle"))
     size = F.expr(f"n - ceil({percent} * n / 100) + 1")
-    return words.join(often, "shingle").withColumn("rank", rank).join(docs, "doc_id").where(F.col("rank") <= size).select("doc_id", "n", "component", "mass", F.col("shingle").alias("key"))
+    return words.join(often, "shingle").withColumn("rank", rank).join(docs, "doc_id").where(F.col("rank") <= size).select("doc_id", "n", "component", "mass", "rank", F.col("shingle").alias("key"))
 
 
 def _residual(rows: DataFrame, comps: DataFrame, texts_of: DataFrame, percent: int) -> DataFrame:
@@ -132,9 +134,16 @@ def _residual(rows: DataFrame, comps: DataFrame, texts_of: DataFrame, percent: i
     # In each posting list the heaviest component stays on one side only: its own pairs don't arise.
     lists = pre.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max(F.struct("mass", "component")).alias("top")).where("lo < hi").select("key", F.col("top.component").alias("top"))
     pre = pre.join(lists, "key")
-    x = pre.where("component <> top").select("key", F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
-    y = pre.select("key", F.col("doc_id").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"), (F.col("component") == F.col("top")).alias("at_top"))
-    pairs = x.join(y, "key").where(f"cx <> cy and (at_top or x < y) and 100 * least(nx, ny) >= {percent} * greatest(nx, ny)")
+    # The first shingle that a linked pair shares is at most at place n + 1 - overlap on either side. A side
+    # therefore asks each band of partner sizes only with the shingles early enough for such partners.
+    share = percent / (100 + percent)
+    band = lambda n: F.floor(F.log(n.cast("double")) / F.log(F.lit(BAND)))
+    bands = F.sequence(band(F.col("n") * percent / 100), band(F.col("n") * 100 / percent))
+    early = F.filter(bands, lambda b: F.col("rank") <= F.col("n") + 1 - share * (F.col("n") + F.pow(F.lit(BAND), b)) + 0.001)
+    x = pre.where("component <> top").select("key", F.explode(early).alias("band"), F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"), F.col("rank").alias("rx"))
+    y = pre.select("key", band(F.col("n")).alias("band"), F.col("doc_id").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"), F.col("rank").alias("ry"), (F.col("component") == F.col("top")).alias("at_top"))
+    fit = f"cx <> cy and (at_top or x < y) and 100 * least(nx, ny) >= {percent} * greatest(nx, ny) and (1 + least(nx - rx, ny - ry)) * {100 + percent} >= {percent} * (nx + ny)"
+    pairs = x.join(y, ["key", "band"]).where(fit)
     return pairs.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
 
 
