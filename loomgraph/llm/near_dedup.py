@@ -93,7 +93,7 @@ def _confirm(percent: int):
 def _linked(pairs: DataFrame, texts_of: DataFrame, percent: int, label: str) -> DataFrame:
     """The pairs (u, v) whose full shingle sets are similar enough."""
     ids = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
-    sets = materialise(texts_of.join(ids, "doc_id", "left_semi").mapInArrow(_sets, _SETS), f"{label}-sets")
+    sets = materialise(texts_of.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets, _SETS), f"{label}-sets")
     x = sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("sx"))
     y = sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("sy"))
     both = pairs.join(x, "u").join(y, "v").select("u", "v", "sx", "sy")
@@ -115,7 +115,7 @@ def _with_components(rows: DataFrame, comps: DataFrame) -> DataFrame:
 
 def _prefixes(docs: DataFrame, texts_of: DataFrame, percent: int) -> DataFrame:
     """The rarest shingles of each document: as many as a partner at the threshold can't all lack."""
-    words = texts_of.join(docs, "doc_id", "left_semi").mapInArrow(_tokens, "doc_id long, shingle long")
+    words = texts_of.join(docs, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_tokens, "doc_id long, shingle long")
     words = materialise(words, "tokens")
     often = words.groupBy("shingle").agg(F.count("*").alias("often"))
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("often", "shingle"))
