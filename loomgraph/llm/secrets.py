@@ -27,7 +27,7 @@ from loomgraph.llm.common import keyed, text_slices, texts
 from loomgraph.llm.shingles import utf8, word_spans
 from loomgraph.llm.spans import SECRETS, joined, overlaps, sha256
 
-MIN_LENGTH, THRESHOLD = 20, 0.75
+MIN_LENGTH, THRESHOLD = 20, 0.5
 TRAIN_STRINGS = 20_000
 KINDS = [*SECRETS, "random"]
 _TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
