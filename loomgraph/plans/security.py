@@ -28,7 +28,6 @@ class Principal:
     roles: set[str] = field(default_factory=set)
     scopes: set[str] = field(default_factory=set)
     attributes: dict[str, str] = field(default_factory=dict)
-    clearance: int = 0
 
 
 @dataclass
@@ -59,23 +58,32 @@ def authenticate(token: str, secret: bytes, issuer: str | None = None, audience:
     audiences = claims.get("aud", [])
     if issuer and claims.get("iss") != issuer or audience and audience not in ([audiences] if isinstance(audiences, str) else audiences):
         raise Unauthenticated("wrong issuer or audience")
-    return Principal(claims["sub"], claims["tenant"], set(claims.get("roles", [])), set(claims.get("scopes", [])), claims.get("attributes", {}), claims.get("clearance", 0))
+    return Principal(claims["sub"], claims["tenant"], set(claims.get("roles", [])), set(claims.get("scopes", [])), claims.get("attributes", {}))
+
 
+#: Actions of each role, and the scopes that allow an action (fixed values).
+ROLE_ACTIONS = {"reader": {"query"}, "ingestor": {"ingest"}, "admin": {"ingest", "query", "admin"}}
+ACTION_SCOPES = {"ingest": {"ingest:write", "admin:*"}, "query": {"query:execute", "admin:*"}, "admin": {"admin:*"}}
+CLEARANCE = "clearance_level"
 
-#: What a role may do; a scope of the action's name allows it as well.
-ROLE_ACTIONS = {"admin": {"query", "ingest", "manage"}, "writer": {"query", "ingest"}, "reader": {"query"}}
 
+def authorize(who: Principal, what: Resource, tenant_boundary: bool = True) -> None:
+    """Tenant, then role or scope, then attributes, then clearance; the first that fails is the error.
 
-def authorize(who: Principal, what: Resource) -> None:
-    """Tenant, then role or scope, then attributes, then clearance; the first that fails is the error."""
-    if who.tenant != what.tenant:
+    A role that may administrate may do everything. Clearance is the principal's attribute of that name.
+    """
+    if tenant_boundary and (not what.tenant.strip() or who.tenant != what.tenant.strip()):
         raise Denied("tenant")
-    if what.action not in who.scopes and not any(what.action in ROLE_ACTIONS.get(r, ()) for r in who.roles):
+    by_role = any({what.action, "admin"} & ROLE_ACTIONS.get(r, set()) for r in who.roles)
+    if not by_role and not who.scopes & ACTION_SCOPES.get(what.action, set()):
         raise Denied("role_or_scope")
-    if any(who.attributes.get(k) != v for k, v in what.required.items()):
-        raise Denied("attributes")
-    if who.clearance < what.clearance:
-        raise Denied("clearance")
+    for key, value in what.required.items():
+        if who.attributes.get(key) != value:
+            raise Denied(f"attributes: {key}")
+    if what.clearance:
+        level = who.attributes.get(CLEARANCE, "")
+        if not (level.isascii() and level.isdigit() and int(level) >= what.clearance):
+            raise Denied("clearance")
 
 
 def governed(requests: DataFrame, policies: DataFrame, now_unix: Column) -> DataFrame:
