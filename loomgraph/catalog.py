@@ -92,6 +92,11 @@ def business_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("seq", F.col("target"))
 
 
+def edge_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The business edges as a stored table: loops read it once a hop instead of building it again."""
+    return materialise(business_edges(spark, sf_dir).withColumn("weight", F.col("weight").cast("float")), "edges")
+
+
 KNN = """v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings),
 k AS (SELECT a.id AS source, b.id AS target, round(list_cosine_similarity(a.v, b.v), 12) AS score FROM v a JOIN v b ON a.id <> b.id),
 knn AS (SELECT source, target, score, row_number() OVER (PARTITION BY source ORDER BY score DESC, target) AS rank FROM k QUALIFY rank <= 3)"""
@@ -170,7 +175,7 @@ def _reach(depth: int) -> str:
 
 @query("graph_expand_2hop", _reach(2))
 def graph_expand_2hop(spark, sf_dir):
-    return traverse.expand(business_edges(spark, sf_dir), 4 * BILLION + 1, 2)
+    return traverse.expand(edge_table(spark, sf_dir), 4 * BILLION + 1, 2)
 
 
 @query("graph_expand_n", "WITH RECURSIVE " + KNN + ", r AS (SELECT 0::BIGINT AS id, 0 AS hop UNION SELECT knn.target, r.hop + 1 FROM r JOIN knn ON knn.source = r.id WHERE r.hop < 5) SELECT id, CAST(min(hop) AS INTEGER) AS hop FROM r WHERE id <> 0 GROUP BY id")
@@ -189,20 +194,20 @@ first AS (SELECT node, hop, path, row_number() OVER (PARTITION BY node ORDER BY
 def bfs_paths(spark, sf_dir):
     """Order 1 to its customer, nation, region and parts; equal paths go by the order of edges (their target)."""
     anchors = spark.createDataFrame([(5 * BILLION + 1, 0)], "id bigint, rank int")
-    walk = traverse.traverse(business_edges(spark, sf_dir), anchors, 3)
+    walk = traverse.traverse(edge_table(spark, sf_dir), anchors, 3)
     return walk.paths.select("target", "hop", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
 
 
 @query("bfs_relation_filtered", "WITH " + _bfs("e.relation IN ('placed_by', 'in_nation')") + " SELECT node AS target, hop FROM first WHERE n = 1 AND hop > 0")
 def bfs_relation_filtered(spark, sf_dir):
     anchors = spark.createDataFrame([(5 * BILLION + 1, 0)], "id bigint, rank int")
-    return traverse.traverse(business_edges(spark, sf_dir), anchors, 3, ["placed_by", "in_nation"]).paths.select("target", "hop")
+    return traverse.traverse(edge_table(spark, sf_dir), anchors, 3, ["placed_by", "in_nation"]).paths.select("target", "hop")
 
 
 @query("relation_exclusions", f"WITH RECURSIVE {EDGES}, p AS (SELECT {5 * BILLION + 1}::BIGINT AS node, 0 AS hop UNION SELECT e.target, p.hop + 1 FROM p JOIN e ON e.source = p.node WHERE e.relation = 'placed_by' AND p.hop < 3) SELECT DISTINCT 'relation_filtered:' || e.relation AS reason FROM p JOIN e ON e.source = p.node WHERE p.hop < 3 AND e.relation <> 'placed_by'")
 def relation_exclusions(spark, sf_dir):
     anchors = spark.createDataFrame([(5 * BILLION + 1, 0)], "id bigint, rank int")
-    pruned = traverse.traverse(business_edges(spark, sf_dir), anchors, 3, ["placed_by"]).pruned
+    pruned = traverse.traverse(edge_table(spark, sf_dir), anchors, 3, ["placed_by"]).pruned
     return pruned.select(F.concat(F.lit("relation_filtered:"), F.col("relation")).alias("reason"))
 
 
