@@ -1,7 +1,8 @@
 """Secret scans with character Markov models.
 
-Two order-1 character models are compared by their log-likelihood ratio: random strings, from a
-labelled sample of TRAIN_STRINGS strings that a seeded generator draws over the usual alphabets, and
+Order-1 character models are compared by their log-likelihood ratio: random strings, one model for each
+usual alphabet, from a labelled sample of TRAIN_STRINGS strings that a seeded generator draws over them
+(a token counts by the alphabet that suits it best; one model of all would underrate narrow ones), and
 ordinary identifiers, from the character transitions of every word of every document (words over 40
 bytes or with over two digits are not ordinary). Tokens of MIN_LENGTH or more characters with letters
 and digits whose mean ratio reaches THRESHOLD become spans of kind `random`, beside the base kinds.
@@ -27,7 +28,7 @@ from loomgraph.llm.common import keyed, text_slices, texts
 from loomgraph.llm.shingles import utf8, word_spans
 from loomgraph.llm.spans import SECRETS, joined, overlaps, sha256
 
-MIN_LENGTH, THRESHOLD = 20, 0.5
+MIN_LENGTH, THRESHOLD = 20, 0.75
 TRAIN_STRINGS = 20_000
 KINDS = [*SECRETS, "random"]
 _TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
@@ -41,11 +42,13 @@ _DIGIT[48:58] = True
 _SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
 
-def random_strings(n: int = TRAIN_STRINGS, seed: int = 11) -> list[str]:
-    """The labelled sample: strings of 16 to 64 characters over hex, base 32, base 36, base 62 and base 64 digits."""
+ALPHABETS = ("0123456789abcdef", string.ascii_uppercase + "234567", string.ascii_lowercase + string.digits, string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_letters + string.digits + "-_")
+
+
+def random_strings(n: int = TRAIN_STRINGS, seed: int = 11) -> list[tuple[int, str]]:
+    """The labelled sample: (alphabet, string) of 16 to 64 characters over hex, base 32, base 36, base 62 and base 64 digits."""
     rng = random.Random(seed)
-    alphabets = ["0123456789abcdef", string.ascii_uppercase + "234567", string.ascii_lowercase + string.digits, string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_letters + string.digits + "-_"]
-    return ["".join(rng.choices(a, k=rng.randint(16, 64))) for a in (rng.choice(alphabets) for _ in range(n))]
+    return [(a, "".join(rng.choices(ALPHABETS[a], k=rng.randint(16, 64)))) for a in (rng.randrange(len(ALPHABETS)) for _ in range(n))]
 
 
 def transitions(cells: np.ndarray) -> np.ndarray:
@@ -77,17 +80,18 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def random_model(docs: DataFrame) -> np.ndarray:
-    """(CELLS, CELLS) log-likelihood ratios of a transition: random strings against the corpus's ordinary words."""
+    """(alphabets, CELLS, CELLS) log-likelihood ratios of a transition: random strings against the corpus's ordinary words."""
     cells = docs.mapInArrow(_count, "counts array<long>").select(F.posexplode("counts")).groupBy("pos").agg(F.sum("col").alias("n")).orderBy("pos").collect()
     ordinary = np.array([r.n for r in cells] or [0] * CELLS * CELLS, float)
-    sample = _CELL[np.frombuffer(("\n" + "\n".join(random_strings()) + "\n").encode(), np.uint8)]
-    return log_model(transitions(sample).astype(float)) - log_model(ordinary)
+    known, sample = log_model(ordinary), random_strings()
+    joined_of = ["\n" + "\n".join(t for k, t in sample if k == a) + "\n" for a in range(len(ALPHABETS))]
+    return np.stack([log_model(transitions(_CELL[np.frombuffer(t.encode(), np.uint8)]).astype(float)) - known for t in joined_of])
 
 
 def ratio(model: np.ndarray, token: str) -> float:
-    """Mean log-likelihood ratio per transition."""
+    """Mean log-likelihood ratio per transition, by the alphabet that suits best."""
     c = _CELL[np.frombuffer(token.encode(), np.uint8)]
-    return float(model[c[:-1], c[1:]].mean())
+    return float(model[:, c[:-1], c[1:]].mean(axis=1).max())
 
 
 def find(text: str, model: np.ndarray) -> tuple[dict[str, list], list]:

@@ -112,4 +112,4 @@ def test_secrets(spark):
     assert all(got[i].spans == "" for i in range(60))
     held_out = secrets.random_strings(300, seed=99)
     model = secrets.random_model(spark.createDataFrame(rows[:60], "doc_id long, text string"))
-    assert sum(secrets.ratio(model, s) >= secrets.THRESHOLD for s in held_out) >= 240
+    assert sum(secrets.ratio(model, s) >= secrets.THRESHOLD for _, s in held_out) > 280
