@@ -73,18 +73,27 @@ def resolve_as_of(snapshots: DataFrame, when: Column) -> DataFrame:
     return snapshots.where(F.col("created_at_ms") <= when).agg(F.max_by(F.struct("snapshot_id", "lsn", "created_at_ms"), F.struct("created_at_ms", "lsn")).alias("s")).select("s.*")
 
 
-def as_of_join(left: DataFrame, right: DataFrame, left_time: str, right_time: str, right_cols: list[str], key: str | None = None) -> DataFrame:
+def as_of_join(left: DataFrame, right: DataFrame, left_time: str, right_time: str, right_cols: list[str], key: str | None = None, width: int = 86_400_000) -> DataFrame:
     """Each left row with the last right row at or before it, per key.
 
     Both sides are merged in time order within a key and carried forward, so no row meets more than one
-    partner. Without a key, rows fall into time buckets; each bucket starts from the last right row before it.
+    partner. Without a key, rows fall into buckets of `width` time units; each bucket starts from the last
+    right row before it, which a window over one row per bucket finds.
     """
-    carried = F.struct(right_time, *right_cols)
-    l_rows = left.select(*([key] if key else []), F.col(left_time).alias("t"), F.lit(1).alias("side"), F.struct(*left.columns).alias("l"), F.lit(None).alias("r"))
-    r_rows = right.select(*([key] if key else []), F.col(right_time).alias("t"), F.lit(0).alias("side"), F.lit(None).alias("l"), carried.alias("r"))
+    part = key or "bucket"
+    bucket = lambda t: [] if key else [F.floor(F.col(t) / width).alias("bucket")]
+    own = [key] if key else []
+    l_rows = left.select(*own, *bucket(left_time), F.col(left_time).alias("t"), F.lit(1).alias("side"), F.struct(*left.columns).alias("l"), F.lit(None).alias("r"))
+    r_rows = right.select(*own, *bucket(right_time), F.col(right_time).alias("t"), F.lit(0).alias("side"), F.lit(None).alias("l"), F.struct(right_time, *right_cols).alias("r"))
     both = l_rows.unionByName(r_rows)
-    w = (Window.partitionBy(key) if key else Window.partitionBy(F.lit(0))).orderBy("t", "side").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("r", F.last("r", ignorenulls=True).over(w)).where("side = 1").select("l.*", *[F.col(f"r.{c}").alias(c) for c in right_cols])
+    w = Window.partitionBy(part).orderBy("t", "side").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("r", F.last("r", ignorenulls=True).over(w)).where("side = 1")
+    if not key:
+        last = both.groupBy("bucket").agg(F.max_by("r", F.when(F.col("side") == 0, F.col("t"))).alias("last"))
+        earlier = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+        carried = last.select("bucket", F.last("last", ignorenulls=True).over(earlier).alias("before"))
+        found = found.join(carried, "bucket").withColumn("r", F.coalesce("r", "before"))
+    return found.select("l.*", *[F.col(f"r.{c}").alias(c) for c in right_cols])
 
 
 def backup(nodes: DataFrame, edges: DataFrame, keys: DataFrame, path: str, lsn: int) -> None:
