@@ -4,10 +4,14 @@ Words are compared in lower case without ASCII punctuation, in shingles of five.
 shingles, each document window of m shingles in which enough shingles occur in the benchmark at all
 (a necessary condition for the similarity) gets a 128-bit SimHash. 16 blocks of 8 bits index the
 items of that size: of two fingerprints within RADIUS bits, one block at least differs in no more
-than RADIUS // 16 bits, so looking up each block's neighbours finds all items within RADIUS. Those go
+than RADIUS // BLOCKS bits, so looking up each block's neighbours finds all items within RADIUS. Those go
 to the exact similarity: sum of least over sum of greatest shingle weights, a weight being the
 shingle's count. At the threshold of 0.8 the expected distance is 19 bits with a deviation of 4.
 
+A document with fewer shingles than an item is one window as a whole, if it has enough of them for the
+similarity. Even numbers of shingles tie more often (4 of an item's 5: 24 bits expected), so such a
+window is looked up within SHORT_RADIUS, all that the blocks find.
+
 Items shorter than five words have the whole sequence as their one shingle. The benchmark is read in
 blocks of BLOCK_ITEMS items, one pass each, so what a task holds doesn't grow with it.
 
@@ -30,6 +34,8 @@ from loomgraph.llm.common import keyed, text_slices, texts
 from loomgraph.llm.shingles import mix, utf8, windows, word_hashes, word_spans
 
 RADIUS, BLOCKS = 36, 16
+#: Of two fingerprints within so many bits, one block at least differs in no more than RADIUS // BLOCKS.
+SHORT_RADIUS = (RADIUS // BLOCKS + 1) * BLOCKS - 1
 BLOCK_ITEMS = 20_000
 #: Windows are fingerprinted in runs of at most about so many words.
 SPAN = 4096
@@ -68,13 +74,13 @@ class ItemsOfSize:
         # near[k, v] marks the items whose block k is within RADIUS // BLOCKS bits of v.
         self.near = np.stack([_POPCOUNT[values[:, None] ^ self.prints[None, :, k]] <= RADIUS // BLOCKS for k in range(BLOCKS)])
 
-    def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, item) pairs within RADIUS bits."""
+    def candidates(self, prints: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item) pairs within `radius` bits, SHORT_RADIUS at most."""
         maybe = np.zeros((len(prints), len(self.ids)), bool)
         for k in range(BLOCKS):
             maybe |= self.near[k, prints[:, k]]
         w, i = np.nonzero(maybe)
-        ok = _POPCOUNT[prints[w] ^ self.prints[i]].sum(axis=1) <= RADIUS
+        ok = _POPCOUNT[prints[w] ^ self.prints[i]].sum(axis=1) <= radius
         return w[ok], i[ok]
 
 
@@ -110,25 +116,28 @@ class Benchmark:
             if not hits[-1]:
                 continue
             for (w, m), items in self.sized.items():
-                if w != width or len(s) < m:
+                if w != width:
+                    continue
+                n, least = min(m, len(s)), ceil(self.threshold * m)
+                if n < least:
                     continue
-                starts = np.flatnonzero(hits[m:] - hits[:-m] >= ceil(self.threshold * m))
-                for run in np.split(starts, np.flatnonzero((np.diff(starts) > m) | (np.diff(starts // SPAN) > 0)) + 1):
-                    for p, b in self._near(s, run, m, items):
-                        similarity = weighted_similarity(np.unique(s[p : p + m], return_counts=True), items.shingles[b])
+                starts = np.flatnonzero(hits[n:] - hits[:-n] >= least)
+                for run in np.split(starts, np.flatnonzero((np.diff(starts) > n) | (np.diff(starts // SPAN) > 0)) + 1):
+                    for p, b in self._near(s, run, n, items, RADIUS if n == m else SHORT_RADIUS):
+                        similarity = weighted_similarity(np.unique(s[p : p + n], return_counts=True), items.shingles[b])
                         if similarity >= self.threshold and similarity > best.get(items.ids[b], (0.0,))[0]:
-                            best[items.ids[b]] = (similarity, p, m + width - 1)
+                            best[items.ids[b]] = (similarity, p, n + width - 1)
         return [(i, *found) for i, found in best.items()]
 
     @staticmethod
-    def _near(s: np.ndarray, starts: np.ndarray, m: int, items: ItemsOfSize) -> Iterator[tuple[int, int]]:
-        """(start, item) pairs of the windows whose fingerprints are within RADIUS of an item's."""
+    def _near(s: np.ndarray, starts: np.ndarray, m: int, items: ItemsOfSize, radius: int) -> Iterator[tuple[int, int]]:
+        """(start, item) pairs of the windows of m shingles whose fingerprints are within `radius` of an item's."""
         if not len(starts):
             return
         lo, hi = int(starts[0]), int(starts[-1]) + m
         sums = np.zeros((hi - lo + 1, 128), np.int32)
         np.cumsum(simhash_signs(s[lo:hi]), axis=0, out=sums[1:])
-        window, item = items.candidates(fingerprints(sums[starts + m - lo] - sums[starts - lo]))
+        window, item = items.candidates(fingerprints(sums[starts + m - lo] - sums[starts - lo]), radius)
         yield from zip(starts[window].tolist(), item.tolist(), strict=True)
 
 

@@ -91,6 +91,25 @@ def test_leaks_match_brute_force(spark):
     assert decontaminate.contaminated(df, spark.createDataFrame([], "item_id long, text string")).collect() == []
 
 
+def test_documents_shorter_than_an_item_are_leaks(spark):
+    rng = random.Random(15)
+    items = [(i, " ".join(f"w{rng.randrange(3000)}" for _ in range(n))) for i, n in enumerate([30] * 5 + [9] * 200 + [14] * 5 + [5, 3])]
+    docs, want = [], {}
+    for i, text in items:
+        words = text.split()
+        for cut in range(1, min(8, len(words))):
+            # Shingles left of the item's; a cut in the middle breaks four more.
+            docs += [(20 * i + cut, " ".join(words[cut:])), (20 * i + 10 + cut, " ".join(words[: len(words) // 2] + words[len(words) // 2 + cut :]))]
+            for d, left in docs[-2:]:
+                own, part = ([tuple(v[k : k + 5]) for k in range(len(v) - 4)] for v in (words, left.split()))
+                both = len(set(own) & set(part))
+                if part and both / (len(own) + len(part) - both) >= 0.8:
+                    want[d, i] = (round(both / (len(own) + len(part) - both), 6), 0, len(left.split()))
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert want[2, 0] == (0.923077, 0, 28) and len(want) > 200
+    assert {(r.doc_id, r.item_id): (r.similarity, r.start_word, r.n_words) for r in got} == want
+
+
 def test_url_list_matches_sql(spark, sf_dir):
     assert differences(queries.op6_url_filter(spark, sf_dir), connect(sf_dir), oracles.ORACLES["op6_url_filter"]) is None
 
