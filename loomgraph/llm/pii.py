@@ -5,7 +5,9 @@ lexical pattern. Spark scores the graph of patterns and instances for ROUNDS rou
 confidence for a kind is the score of the instances it introduces over all its occurrences in the
 corpus (followed by an identifier or not), provided MIN_SEEDS distinct seeds support it; an instance
 scores as its best pattern. Identifier-like tokens (MIN_DIGITS digits or an @) whose score reaches
-MIN_CONFIDENCE become spans of the pattern's kind. Base spans always stay.
+MIN_CONFIDENCE are accepted: in the next round they are seeds too, so that each round can support new
+patterns. To a pattern, an instance scores as the best of its other patterns: what a pattern found
+itself doesn't support it. Instances accepted at the end become spans of their kind. Base spans always stay.
 
 Cases: a null text is empty and has no spans. Texts are used whole; identifier-like tokens over 64
 characters are no candidates. A null doc_id passes through. Repeated rows are answered each; copies
@@ -106,12 +108,21 @@ def _occurrences(bitmap: np.ndarray):
     return run
 
 
+def _supported(seeds: DataFrame, open_: DataFrame, scores: DataFrame) -> DataFrame:
+    """(pattern, kind, seeds, hits) of the base and the scored instances; an instance scores as the best of its other patterns."""
+    other = F.when(F.col("pattern") == F.col("by"), F.coalesce("next", F.lit(0.0))).otherwise(F.col("score"))
+    scored = open_.join(scores, "surface").withColumn("score", other)
+    found = scored.groupBy("pattern", "kind").agg(F.sum(F.when(F.col("score") >= MIN_CONFIDENCE, 1).otherwise(0)).alias("seeds"), F.sum(F.col("n") * F.col("score")).alias("hits"))
+    both = seeds.withColumn("hits", F.col("hits").cast("double")).unionByName(found)
+    return both.groupBy("pattern", "kind").agg(F.sum("seeds").alias("seeds"), F.sum("hits").alias("hits"))
+
+
 def _accepted(base: DataFrame, scanned: DataFrame) -> DataFrame:
     """(surface, kind): the candidates that confident patterns introduce."""
     seen = scanned.select(F.explode("seen").alias("s")).select("s.kind", "s.surface", "s.pattern").where("pattern is not null")
     edges = materialise(seen.groupBy("pattern", "surface", "kind").agg(F.count("*").alias("n")), "pii-edges")
-    # Only patterns with enough seeds, and with a candidate to discover, can matter.
-    useful = edges.groupBy("pattern").agg(F.count_distinct(F.when(F.col("kind").isNotNull(), F.col("surface"))).alias("seeds"), F.sum(F.when(F.col("kind").isNull(), 1).otherwise(0)).alias("open")).where(f"seeds >= {MIN_SEEDS} and open > 0").select("pattern")
+    # Only patterns with a candidate, and with enough surfaces that are or can become seeds, can matter in any round.
+    useful = edges.groupBy("pattern").agg(F.count_distinct("surface").alias("surfaces"), F.sum(F.when(F.col("kind").isNull(), 1).otherwise(0)).alias("open")).where(f"surfaces >= {MIN_SEEDS} and open > 0").select("pattern")
     useful = materialise(useful, "pii-patterns")
     shift = BITMAP_BITS.bit_length() - 1
     cells = [r.cell for r in useful.select(F.shiftrightunsigned("pattern", 64 - shift).alias("cell")).distinct().collect()]  # BITMAP_BITS at most
@@ -123,13 +134,15 @@ def _accepted(base: DataFrame, scanned: DataFrame) -> DataFrame:
     seeds = edges.where("kind is not null").groupBy("pattern", "kind").agg(F.count_distinct("surface").alias("seeds"), F.sum("n").alias("hits"))
     open_ = edges.where("kind is null").select("pattern", "surface", "n")
     totals = edges.groupBy("pattern").agg(F.max(F.coalesce("total", F.lit(0))).alias("total"), F.sum("n").alias("least"))
-    base_score = seeds.where(f"seeds >= {MIN_SEEDS}").join(totals, "pattern").withColumn("all", F.greatest("total", "least"))
+    totals = totals.select("pattern", F.greatest("total", "least").alias("all"))
     scores = None
     for _ in range(ROUNDS):
-        conf = base_score if scores is None else base_score.drop("gained").join(open_.join(scores, "surface").groupBy("pattern", "kind").agg(F.sum(F.col("n") * F.col("score")).alias("gained")), ["pattern", "kind"], "left")
-        gained = F.lit(0.0) if scores is None else F.coalesce("gained", F.lit(0.0))
-        conf = conf.select("pattern", "kind", F.least(F.lit(1.0), (F.col("hits") + gained) / F.col("all")).alias("conf"))
-        scores = materialise(open_.join(conf, "pattern").groupBy("surface", "kind").agg(F.max("conf").alias("score")), "pii-scores")
+        support = seeds if scores is None else _supported(seeds, open_, scores)
+        conf = support.where(f"seeds >= {MIN_SEEDS}").join(totals, "pattern").select("pattern", "kind", F.least(F.lit(1.0), F.col("hits") / F.col("all")).alias("conf"))
+        pairs = materialise(open_.join(conf, "pattern").select("surface", "kind", "pattern", "conf"), "pii-pairs")
+        first = pairs.groupBy("surface", "kind").agg(F.max(F.struct("conf", "pattern")).alias("b")).select("surface", "kind", F.col("b.conf").alias("score"), F.col("b.pattern").alias("by"))
+        second = pairs.join(first.select("surface", "kind", "by"), ["surface", "kind"]).where("pattern <> by").groupBy("surface", "kind").agg(F.max("conf").alias("next"))
+        scores = materialise(first.join(second, ["surface", "kind"], "left"), "pii-scores")
     best = scores.groupBy("surface").agg(F.max(F.struct("score", "kind")).alias("b"))
     return best.where(F.col("b.score") >= MIN_CONFIDENCE).select("surface", F.col("b.kind").alias("kind"))
 

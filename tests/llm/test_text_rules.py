@@ -100,6 +100,20 @@ def test_personal_data(spark):
     assert pii.personal_data(df.limit(0)).collect() == []
 
 
+def test_discoveries_support_new_patterns(spark):
+    base = [(i, f"note {i} call desk at +1 (415) 555-{1000 + i} today") for i in range(120)]
+    first = [(100 + i, f"please call desk at 5550{i}19 today") for i in range(12)]
+    second = [(200 + i, f"now reach bureau via 5550{i}19 soon") for i in range(12)] + [(220 + i, f"then reach bureau via 7770{i}42 soon") for i in range(5)]
+    third = [(300 + i, f"or try hotline number 7770{i}42 soon") for i in range(5)] + [(310, "or try hotline number 888123 soon")]
+    # Of its seven instances only three have another pattern: the four that it found itself can't carry it.
+    alone = [(400 + i, f"and see folder under 5550{i}19 soon") for i in range(3)] + [(410 + i, f"and see folder under 66{i}6612 soon") for i in range(4)]
+    few = [(500 + i, f"the red lamp costs 5550{i}19 soon") for i in range(2)] + [(510, "the red lamp costs 999321 soon")]
+    rows = base + first + second + third + alone + few
+    got = {r.doc_id: r.spans for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i].startswith("phone:") for i, _ in first + second + third)
+    assert all(got[410 + i] == "" for i in range(4)) and got[510] == ""
+
+
 def test_secrets(spark):
     rng = random.Random(8)
     words = "Ordinary identifiers like my_long_variable_name_number_12 and some-path/with/parts of prose that goes on and on".split()
