@@ -36,6 +36,18 @@ def test_host_repeats_decide_without_markup(spark):
     assert html_text.main_text(df.limit(0)).collect() == []
 
 
+def test_covered_runs_go_and_unique_runs_and_copies_stay(spark):
+    rng = random.Random(16)
+    words = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    shared, tail = words(60), words(12)
+    own = [words(50) for _ in range(3)] + [words(100), words(30) + " end", words(30) + " end"]
+    twin = words(40)
+    bodies = [f"<p>{shared} {own[0]}</p>", f"<p>{own[1]} {shared}</p>", f"<p>{own[2][:200]} {shared} {own[2][200:]}</p>", f"<p>{own[3]} {tail}</p>", f"<p>{own[4]}</p>", f"<p>{own[5]}</p>", f"<p>{tail}</p><p>{twin}</p>", f"<p>{tail}</p> <p>{twin}</p>"]
+    want = [own[0], own[1], " ".join(f"{own[2][:200]} {own[2][200:]}".split()), *own[3:], twin, twin]
+    df = spark.createDataFrame([(i, f"https://site.org/{i}", b) for i, b in enumerate(bodies)], "page_id long, url string, html string").repartition(3)
+    assert {r.page_id: r.text for r in html_text.main_text(df).collect()} == dict(enumerate(want))
+
+
 def test_suffix_ranks_match_sorting():
     import numpy as np
 
