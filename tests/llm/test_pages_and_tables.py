@@ -16,6 +16,22 @@ def test_blocks_and_zones():
         html_text.blocks(odd)
 
 
+def test_attributes_and_hints():
+    main = lambda page: html_text.main_blocks(html_text.blocks(page))
+    for odd in ('style="overflow:hidden"', 'aria-hidden="false"', 'data-id="share"', 'href="/x?id=login"', "title='class=nav'", 'data-class = "menu" title="a hidden role=form"', "data-hidden", 'class="a" class="comments"'):
+        assert main(f"<article><div {odd}><p>a <a {odd}>b</a></div></article>") == ["a b"], odd
+    for marked in ("hidden", 'x=1 HIDDEN=""', "role = menu", "class=comments", '''title="it's"id='share\'''', 'class="nav'):
+        assert main(f"<article><p>a</p><div {marked}>b</div></article>") == ["a"], marked
+    text = "the words of the article itself"
+    assert main(f'<article class="post comments-open"><p>{text}</article>') == [text]
+    assert main(f'<div class="layout with-sidebar"><article><p>{text}<div class="comments">c</div></article><div class="sidebar">s</div></div>') == [text]
+    assert main(f'<div class="layout with-sidebar"><main id="search"><p>{text}</main></div>') == [text]
+    for wrapper in ("layout", "layout with-sidebar"):
+        assert main(f'<div class="{wrapper}"><article class="post"><p>{text}<article class="comment">d</article></article><div class="comments"><article>c</article><article>e</article></div></div>') == [text]
+    assert main(f'<article>teaser</article><div class="with-sidebar"><article><p>{text}</article></div>') == ["teaser", text]
+    assert main(f"<div hidden><article>{text}</article></div>") == main(f"<nav><article>{text}</article></nav>") == []
+
+
 def page_rows():
     rng = random.Random(6)
     menu = "<div>Home About Contact Terms Privacy Help Jobs Press Legal Blog</div>"
