@@ -2,7 +2,7 @@
 
 An entry names a host or a parent domain and is dated 'add' or 'remove'. Per entry the changes, in
 order of date, become intervals [from, to): an add opens one, the next change closes it. A capture
-looks up its host and each parent domain (at most MAX_LABELS labels from the right); the entries
+looks up its host and each parent domain of no more labels than the list's longest name has; the entries
 active at its fetch time with the longest name decide. 'deny' entries block, 'allow' entries exempt.
 
 The join is an equality on the name with a range on the time: intervals of one name are disjoint, so
@@ -19,8 +19,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_LABELS = 8
-
 
 def host_of(url: Column) -> Column:
     """Lower-case host of a URL: without scheme, user part, port and trailing dot; null if there is none."""
@@ -43,10 +41,11 @@ def url_filter(captures: DataFrame, changes: DataFrame, id_col: str, url_col: st
     base = base.withColumn("host", host_of(F.col("url")))
     labels = F.split("host", r"\.")
     # The host's last k labels for each k: the host itself and its parent domains.
-    parents = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(MAX_LABELS))), lambda k: F.array_join(F.slice(labels, F.size(labels) - k + 1, k), "."))
+    parents = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.col("most"))), lambda k: F.array_join(F.slice(labels, F.size(labels) - k + 1, k), "."))
     names = F.array_union(F.array("host"), parents)
-    asked = base.where("host is not null").select("host", "fetched_at").distinct().withColumn("name", F.explode(names))
     lists = validity_intervals(changes)
+    most = lists.agg(F.coalesce(F.max(F.size(F.split("name", r"\."))), F.lit(1)).alias("most"))
+    asked = base.where("host is not null").select("host", "fetched_at").distinct().crossJoin(F.broadcast(most)).select("host", "fetched_at", F.explode(names).alias("name"))
     active = asked.join(lists, "name").where("fetched_at >= valid_from and (valid_to is null or fetched_at < valid_to)")
     # The longest name decides; of one name, an exemption goes before a block.
     best = F.max(F.struct(F.length("name").alias("n"), (F.col("kind") == "allow").alias("allow"), "name", "kind", "valid_from")).alias("m")

@@ -151,6 +151,15 @@ def test_url_cases(spark):
     assert caps.select(host_of(F.lit("ftp://h.x:1?q")).alias("h")).first().h == "h.x"
 
 
+def test_url_entries_of_many_labels(spark):
+    name = "b.c.d.e.f.g.h.i.j"
+    changes = spark.createDataFrame([(name, "deny", "add", "2024-01-10"), (f"x.{name}", "allow", "add", "2024-01-10")], "name string, kind string, action string, at string").withColumn("at", F.col("at").cast("timestamp"))
+    hosts = [name, f"a.{name}", f"q.r.{name}", f"y.x.{name}", name[2:], f"a{name}"]
+    caps = spark.createDataFrame([(i, f"http://{h}/", "2024-02-01") for i, h in enumerate(hosts)], "id long, url string, at string")
+    got = {r.capture_id: (r.matched_name, r.kept) for r in url_filter(caps, changes, "id", "url", "at").collect()}
+    assert got == {0: (name, False), 1: (name, False), 2: (name, False), 3: (f"x.{name}", True), 4: (None, True), 5: (None, True)}
+
+
 def test_shards(spark):
     rng = random.Random(3)
     rows = [(i, "x" * rng.randint(0, 300), rng.choice(["en", "fr"])) for i in range(3000)]
