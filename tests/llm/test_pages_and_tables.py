@@ -64,17 +64,64 @@ def test_covered_runs_go_and_unique_runs_and_copies_stay(spark):
     assert {r.page_id: r.text for r in html_text.main_text(df).collect()} == dict(enumerate(want))
 
 
-def test_suffix_ranks_match_sorting():
+def test_suffix_array_matches_sorting():
     import numpy as np
 
     rng = np.random.default_rng(2)
-    for _ in range(30):
-        tokens, page = rng.integers(1, 4, 60).astype(np.uint64), np.sort(rng.integers(0, 4, 60))
-        keys = [tuple(t for t, p in zip(tokens[i : i + 8], page[i : i + 8], strict=True) if p == page[i]) for i in range(60)]
-        rank, h = html_text.ranked_suffixes(tokens, page), html_text.run_hashes(tokens, page)
-        for i in range(60):
-            for j in range(60):
-                assert (rank[i] == rank[j]) == (keys[i] == keys[j]) == (h[i] == h[j])
+    for n in [1, 2, 60] + [60] * 30:
+        tokens, page = rng.integers(1, 4, n).astype(np.uint64), np.sort(rng.integers(0, 4, n))
+        suffix = [[int(t) for t, p in zip(tokens[i:], page[i:], strict=True) if p == page[i]] for i in range(n)]
+        order, common = html_text.suffix_array(tokens, page)
+        assert [suffix[i] for i in order] == sorted(suffix)
+        for a, b, got in zip(order[:-1], order[1:], common[1:], strict=True):
+            assert got == next((k for k, (x, y) in enumerate(zip(suffix[a], suffix[b], strict=False)) if x != y), min(len(suffix[a]), len(suffix[b])))
+
+
+def test_array_alone_matches_brute_force(spark):
+    rng = random.Random(21)
+    shared = [" ".join(f"s{rng.randrange(10**9)}" for _ in range(n)) for n in (5, 7, 8, 9, 20)]
+    rows = []
+    for i in range(40):
+        blocks = [rng.choice(shared) if rng.random() < 0.5 else " ".join(f"w{rng.randrange(10**9)}" for _ in range(rng.randint(1, 60))) for _ in range(rng.randint(1, 6))]
+        tag = rng.choice(["article", "nav", "p"])
+        rows.append((i, f"https://h{i % 3}.org/{i}", "".join(f"<{tag}>{b}</{tag}>" for b in blocks), [" ".join(b.split()) for b in blocks]))
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string").repartition(5), markup=False).collect()}
+    sets = {}
+    for i, u, _, blocks in rows:
+        w = " ".join(blocks).split()
+        sets[i] = (u.split("/")[2], w, {tuple(w[k : k + 8]) for k in range(len(w) - 7)}, {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))})
+    copy = lambda a, b: 100 * len(sets[a][3] & sets[b][3]) >= 90 * len(sets[a][3] | sets[b][3])
+    group = {i: min(j for j in sets if copy(i, j)) for i in sets}
+    for i, _, _, blocks in rows:
+        h, w, _, _ = sets[i]
+        gone = set()
+        for k in range(len(w) - 7):
+            pages = {group[j] for j in sets if sets[j][0] == h and tuple(w[k : k + 8]) in sets[j][2]}
+            if len(pages) > 1:
+                gone |= set(range(k, k + 8))
+        want, at = [], 0
+        for b in blocks:
+            left = [x for k, x in enumerate(b.split(), at) if k not in gone]
+            at += len(b.split())
+            if left:
+                want.append(" ".join(left))
+        assert got[i] == "\n".join(want), i
+
+
+def test_near_copies_keep_their_text_and_teasers_give_way(spark):
+    rng = random.Random(31)
+    menu = " ".join(f"m{rng.randrange(10**9)}" for _ in range(12))
+    words = [f"w{rng.randrange(10**9)}" for _ in range(300)]
+    other = [*words[:150], "changed", *words[151:]]
+    rows = [(i, "https://c.org/", f"<p>{menu}</p><p>{' '.join(w)}</p>") for i, w in enumerate((words, other, words[:50][::-1]))]
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {0: " ".join(words), 1: " ".join(other), 2: " ".join(words[:50][::-1])}
+    main = lambda page: html_text.main_blocks(html_text.blocks(page))
+    long = " ".join(words)
+    assert main(f"<article>teaser of another</article><main><p>{long}</main>") == [long]
+    assert main(f"<main><p>skip <article>{long}</article></main>") == [long]
+    assert main("<main><nav>m</nav></main><article>a</article>") == ["a"]
+    assert len(main(f"<article><p>{'long text ' * 200_000}</article>")[0]) == 1_999_999
 
 
 def test_leaks_match_brute_force(spark):
