@@ -2,18 +2,22 @@
 
 Words are compared in lower case without ASCII punctuation, in shingles of five. For an item of m
 shingles, each document window of m shingles in which enough shingles occur in the benchmark at all
-(a necessary condition for the similarity) gets a 128-bit SimHash. 16 blocks of 8 bits index the
-items of that size: of two fingerprints within RADIUS bits, one block at least differs in no more
-than RADIUS // BLOCKS bits, so looking up each block's neighbours finds all items within RADIUS. Those go
-to the exact similarity: sum of least over sum of greatest shingle weights, a weight being the
-shingle's count. At the threshold of 0.8 the expected distance is 19 bits with a deviation of 4.
+(a necessary condition for the similarity) gets a 128-bit SimHash. BLOCKS blocks of 16 bits index the
+items' fingerprints: of two fingerprints within RADIUS bits, one block at least differs in no more than
+RADIUS // BLOCKS bits, so probing each block's table at all values so near finds every item within RADIUS
+(8 of 100 unrelated pairs share such a block; the whole distance leaves none of them). What is found goes
+to the exact similarity: sum of least over sum of greatest shingle weights, a weight being the shingle's
+count. At the threshold of 0.8 the expected distance is 19.4 bits with a deviation of 4, so RADIUS misses
+2 pairs in 1000 there, and fewer above.
 
 A document with fewer shingles than an item is one window as a whole, if it has enough of them for the
 similarity. Even numbers of shingles tie more often (4 of an item's 5: 24 bits expected), so such a
-window is looked up within SHORT_RADIUS, all that the blocks find.
+window is looked up within SHORT_RADIUS.
 
 Items shorter than five words have the whole sequence as their one shingle. The benchmark is read in
-blocks of BLOCK_ITEMS items, one pass each, so what a task holds doesn't grow with it.
+blocks of at most BLOCK_ITEMS items and BLOCK_CHARS characters (one item at least), one pass over the
+documents each, so neither the driver nor a task holds more than a block. A Python worker builds a
+block's index once.
 
 Cases: null or blank texts and items match nothing. Null ids match like others and are returned as
 null. Repeated rows are reported once per distinct (doc_id, item_id), with the best window, the
@@ -22,7 +26,9 @@ first of equals. Texts are used whole. Other columns are ignored. Empty tables g
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 from math import ceil
 
 import numpy as np
@@ -30,13 +36,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import keyed, text_slices, texts
+from loomgraph.llm.common import keyed, materialise, text_slices, texts
 from loomgraph.llm.shingles import mix, utf8, windows, word_hashes, word_spans
 
-RADIUS, BLOCKS = 36, 16
-#: Of two fingerprints within so many bits, one block at least differs in no more than RADIUS // BLOCKS.
-SHORT_RADIUS = (RADIUS // BLOCKS + 1) * BLOCKS - 1
-BLOCK_ITEMS = 20_000
+RADIUS, BLOCKS = 31, 8
+SHORT_RADIUS = 39
+BLOCK_ITEMS, BLOCK_CHARS = 20_000, 1 << 26
+#: Windows whose neighbours are probed at once.
+PROBED = 1024
 #: Windows are fingerprinted in runs of at most about so many words.
 SPAN = 4096
 WIDTH = 5
@@ -63,25 +70,46 @@ def fingerprints(sums: np.ndarray) -> np.ndarray:
     return np.packbits(sums > 0, axis=1)
 
 
-class ItemsOfSize:
-    """The items of one number of shingles, with their block index."""
+def near_masks(bits: int) -> np.ndarray:
+    """All 16-bit values with at most `bits` bits set."""
+    values = np.arange(1 << 16, dtype=np.uint16)
+    return values[_POPCOUNT[values & 255] + _POPCOUNT[values >> 8] <= bits]
 
-    def __init__(self, items: list[tuple[int | None, np.ndarray]]):
-        self.ids = [i for i, _ in items]
-        self.shingles = [np.unique(s, return_counts=True) for _, s in items]
-        self.prints = np.concatenate([fingerprints(simhash_signs(s).sum(axis=0, keepdims=True)) for _, s in items])
-        values = np.arange(256, dtype=np.uint8)
-        # near[k, v] marks the items whose block k is within RADIUS // BLOCKS bits of v.
-        self.near = np.stack([_POPCOUNT[values[:, None] ^ self.prints[None, :, k]] <= RADIUS // BLOCKS for k in range(BLOCKS)])
 
-    def candidates(self, prints: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-        """(window, item) pairs within `radius` bits, SHORT_RADIUS at most."""
-        maybe = np.zeros((len(prints), len(self.ids)), bool)
+_MASKS = {r: near_masks(r // BLOCKS) for r in (RADIUS, SHORT_RADIUS)}
+
+
+class BlockIndex:
+    """Fingerprints in one hash table per block: a block's value -> the items that have it."""
+
+    def __init__(self, prints: np.ndarray):
+        self.prints = prints
+        keys = prints.view(np.uint16)
+        self.order = np.argsort(keys, axis=0, kind="stable").T.copy()
+        self.starts = np.stack([np.searchsorted(keys[o, k], np.arange((1 << 16) + 1)) for k, o in enumerate(self.order)]).astype(np.int32)
+
+    def blocked(self, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct (window, item) pairs with a block within radius // BLOCKS bits."""
+        keys, n = prints.view(np.uint16), len(self.prints)
+        pairs = [np.empty(0, np.int64)]
         for k in range(BLOCKS):
-            maybe |= self.near[k, prints[:, k]]
-        w, i = np.nonzero(maybe)
-        ok = _POPCOUNT[prints[w] ^ self.prints[i]].sum(axis=1) <= radius
-        return w[ok], i[ok]
+            probed = keys[:, k, None] ^ _MASKS[radius][None, :]
+            first, last = self.starts[k][probed], self.starts[k][probed.astype(np.int32) + 1]
+            w, j = np.nonzero(first < last)
+            lo, size = first[w, j], (last - first)[w, j]
+            place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo, size)
+            pairs.append(np.repeat(w, size) * n + self.order[k][place])
+        found = np.unique(np.concatenate(pairs))
+        return found // n, found % n
+
+    def candidates(self, prints: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item) pairs within `radius` bits."""
+        out = []
+        for at in range(0, len(prints), PROBED):
+            w, i = self.blocked(prints[at : at + PROBED], radius)
+            ok = _POPCOUNT[prints[at + w] ^ self.prints[i]].sum(axis=1) <= radius
+            out.append((at + w[ok], i[ok]))
+        return np.concatenate([w for w, _ in out]), np.concatenate([i for _, i in out])
 
 
 def weighted_similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -93,15 +121,17 @@ def weighted_similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
 class Benchmark:
     def __init__(self, items: list[tuple[int | None, str]], threshold: float):
         self.threshold = threshold
-        sized: dict[tuple[int, int], list] = {}
+        of: dict[int, list] = {}
         for item, text in items:
             h = plain_hashes(text)
             if len(h):
                 width = min(WIDTH, len(h))
-                s = windows(h, width)
-                sized.setdefault((width, len(s)), []).append((item, s))
-        self.sized = {k: ItemsOfSize(v) for k, v in sorted(sized.items())}
-        self.known = {w: np.unique(np.concatenate([s for (x, _), v in sized.items() if x == w for _, s in v])) for w in {w for w, _ in sized}}
+                of.setdefault(width, []).append((item, windows(h, width)))
+        self.of = dict(sorted(of.items()))
+        self.known = {w: np.unique(np.concatenate([s for _, s in v])) for w, v in self.of.items()}
+        self.size = {w: np.array([len(s) for _, s in v]) for w, v in self.of.items()}
+        self.shingles = {w: [np.unique(s, return_counts=True) for _, s in v] for w, v in self.of.items()}
+        self.index = {w: BlockIndex(np.concatenate([fingerprints(simhash_signs(s).sum(axis=0, keepdims=True)) for _, s in v])) for w, v in self.of.items()}
 
     def matches(self, text: str) -> list[tuple[int | None, float, int, int]]:
         """(item, similarity, first word, words) of the best window of each item found."""
@@ -115,41 +145,54 @@ class Benchmark:
             hits = np.concatenate([[0], np.cumsum(known[at] == s)])
             if not hits[-1]:
                 continue
-            for (w, m), items in self.sized.items():
-                if w != width:
-                    continue
+            for m in np.unique(self.size[width]).tolist():
                 n, least = min(m, len(s)), ceil(self.threshold * m)
                 if n < least:
                     continue
                 starts = np.flatnonzero(hits[n:] - hits[:-n] >= least)
                 for run in np.split(starts, np.flatnonzero((np.diff(starts) > n) | (np.diff(starts // SPAN) > 0)) + 1):
-                    for p, b in self._near(s, run, n, items, RADIUS if n == m else SHORT_RADIUS):
-                        similarity = weighted_similarity(np.unique(s[p : p + n], return_counts=True), items.shingles[b])
-                        if similarity >= self.threshold and similarity > best.get(items.ids[b], (0.0,))[0]:
-                            best[items.ids[b]] = (similarity, p, n + width - 1)
+                    for p, b in self._near(s, run, n, width, m):
+                        item = self.of[width][b][0]
+                        similarity = weighted_similarity(np.unique(s[p : p + n], return_counts=True), self.shingles[width][b])
+                        if similarity >= self.threshold and similarity > best.get(item, (0.0,))[0]:
+                            best[item] = (similarity, p, n + width - 1)
         return [(i, *found) for i, found in best.items()]
 
-    @staticmethod
-    def _near(s: np.ndarray, starts: np.ndarray, m: int, items: ItemsOfSize, radius: int) -> Iterator[tuple[int, int]]:
-        """(start, item) pairs of the windows of m shingles whose fingerprints are within `radius` of an item's."""
+    def _near(self, s: np.ndarray, starts: np.ndarray, n: int, width: int, m: int) -> Iterator[tuple[int, int]]:
+        """(start, item) pairs of the windows of n shingles whose fingerprints are near those of items of m."""
         if not len(starts):
             return
-        lo, hi = int(starts[0]), int(starts[-1]) + m
+        lo, hi = int(starts[0]), int(starts[-1]) + n
         sums = np.zeros((hi - lo + 1, 128), np.int32)
         np.cumsum(simhash_signs(s[lo:hi]), axis=0, out=sums[1:])
-        window, item = items.candidates(fingerprints(sums[starts + m - lo] - sums[starts - lo]), radius)
-        yield from zip(starts[window].tolist(), item.tolist(), strict=True)
+        window, item = self.index[width].candidates(fingerprints(sums[starts + n - lo] - sums[starts - lo]), RADIUS if n == m else SHORT_RADIUS)
+        own = self.size[width][item] == m
+        yield from zip(starts[window[own]].tolist(), item[own].tolist(), strict=True)
+
+
+#: The index of the block that this Python worker looked up last, by the block's name.
+_BUILT: dict[str, Benchmark] = {}
+
+
+def _built(name: str, items: list, threshold: float) -> Benchmark:
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = Benchmark(items, threshold)
+    return _BUILT[name]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, item_id, similarity, start_word, n_words: each document that holds an item, with its best window."""
     base = keyed(docs, id_col, text_col)
     rows = benchmark.select(benchmark[item_col].cast("long").alias("i"), F.coalesce(benchmark[item_text_col], F.lit("")).alias("t")).toLocalIterator()
-    found, block = None, []
+    found: list[DataFrame] = []
+    block, chars = [], 0
 
     def one_pass(items: list) -> DataFrame:
+        name = uuid.uuid4().hex
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = Benchmark(items, threshold)
+            known = _built(name, items, threshold)
             for batch in batches:
                 for part in text_slices(batch):
                     out = [(d, *m) for d, t in zip(part.column("doc_id").to_pylist(), texts(part), strict=True) for m in known.matches(t)]
@@ -159,10 +202,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
         return base.mapInArrow(run, _FOUND)
 
     for r in rows:
+        if block and (len(block) == BLOCK_ITEMS or chars + len(r.t) > BLOCK_CHARS):
+            found.append(materialise(one_pass(block), "leaks"))  # written, so that the plan doesn't keep the block
+            block, chars = [], 0
         block.append((r.i, r.t))
-        if len(block) == BLOCK_ITEMS:
-            found, block = one_pass(block) if found is None else found.union(one_pass(block)), []
-    if block or found is None:
-        found = one_pass(block) if found is None else found.union(one_pass(block))
+        chars += len(r.t)
+    found.append(one_pass(block))
     best = F.max_by(F.struct("similarity", "start_word", "n_words"), F.struct("similarity", -F.col("start_word"))).alias("m")
-    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", F.round("m.similarity", 6).alias("similarity"), F.col("m.start_word").alias("start_word"), F.col("m.n_words").alias("n_words"))
+    return reduce(DataFrame.union, found).groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", F.round("m.similarity", 6).alias("similarity"), F.col("m.start_word").alias("start_word"), F.col("m.n_words").alias("n_words"))

@@ -152,7 +152,7 @@ def test_leaks_match_brute_force(spark):
         for i, b in items:
             x = plain(b)
             width = min(5, len(x))
-            if not x or len(w) < len(x):
+            if not x or len(w) < len(x):  # shorter ones: test_documents_shorter_than_an_item_are_leaks
                 continue
             bag = lambda v: [tuple(v[k : k + width]) for k in range(len(v) - width + 1)]  # noqa: B023, E731
             own = bag(x)
@@ -185,6 +185,56 @@ def test_documents_shorter_than_an_item_are_leaks(spark):
     assert {(r.doc_id, r.item_id): (r.similarity, r.start_word, r.n_words) for r in got} == want
 
 
+def test_block_index_finds_all_within_the_radius_and_selects():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    items = rng.integers(0, 256, (400, 16)).astype(np.uint8)
+    index = decontaminate.BlockIndex(items)
+    for radius in (decontaminate.RADIUS, decontaminate.SHORT_RADIUS):
+        flips = np.zeros((400, 128), np.uint8)
+        for i in range(400):
+            flips[i, rng.choice(128, rng.integers(radius - 6, radius + 3), replace=False)] = 1
+        asked = np.concatenate([items ^ np.packbits(flips, axis=1), rng.integers(0, 256, (400, 16)).astype(np.uint8)])
+        far = np.array([[np.unpackbits(a ^ b).sum() for b in items] for a in asked])
+        w, i = index.candidates(asked, radius)
+        assert set(zip(w.tolist(), i.tolist(), strict=True)) == set(zip(*(x.tolist() for x in np.nonzero(far <= radius)), strict=True))
+    share = len(index.blocked(asked[400:], decontaminate.RADIUS)[0]) / 400**2
+    assert 0.05 < share < 0.1
+
+
+def test_recall_at_the_threshold():
+    rng = random.Random(17)
+    found = asked = 0
+    for i in range(300):
+        n = rng.randint(20, 120)
+        words = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        part, own = words[:], [tuple(words[k : k + 5]) for k in range(n - 4)]
+        for _ in range(200):
+            more = part[:]
+            more[rng.randrange(n)] = "x"
+            both = len(set(own) & {tuple(more[k : k + 5]) for k in range(n - 4)})
+            if both / (2 * len(own) - both) < 0.8:
+                break
+            part = more
+        both = len(set(own) & {tuple(part[k : k + 5]) for k in range(n - 4)})
+        asked += 1
+        found += len(decontaminate.Benchmark([(i, " ".join(words))], 0.8).matches(" ".join(["a", "b", *part, "c"])))
+    assert found >= 0.99 * asked
+
+
+def test_benchmark_in_blocks_long_texts_and_repeated_rows(spark, monkeypatch):
+    rng = random.Random(18)
+    items = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(30))) for i in range(7)]
+    docs = [(i, f"before {t} after") for i, t in items] * 2 + [(50, "filler text " * 100_000 + items[3][1] + " more" * 1000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = {(i, i) for i in range(7)} | {(50, 3)}
+    for limit in (decontaminate.BLOCK_ITEMS, 3):
+        monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", limit)
+        got = decontaminate.contaminated(df, spark.createDataFrame(items, "item_id long, text string")).collect()
+        assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want)
+
+
 def test_url_list_matches_sql(spark, sf_dir):
     assert differences(queries.op6_url_filter(spark, sf_dir), connect(sf_dir), oracles.ORACLES["op6_url_filter"]) is None
 
