@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.common import keyed, text_slices, texts
 from loomgraph.llm.shingles import utf8, word_spans
-from loomgraph.llm.spans import SECRETS, joined, overlaps, sha256
+from loomgraph.llm.spans import SECRETS, Taken, joined, sha256
 
 MIN_LENGTH, THRESHOLD = 20, 0.75
 TRAIN_STRINGS = 20_000
@@ -97,11 +97,11 @@ def ratio(model: np.ndarray, token: str) -> float:
 def find(text: str, model: np.ndarray) -> tuple[dict[str, list], list]:
     """Base spans by kind, and the spans that the models add."""
     base = {k: f(text) for k, f in SECRETS.items()}
-    taken = [s for found in base.values() for s in found]
+    taken = Taken([s for found in base.values() for s in found])
     more = []
     for m in _TOKEN.finditer(text):
         t = m.group()
-        if any(map(str.isdigit, t)) and any(map(str.isalpha, t)) and not overlaps(taken, *m.span()) and ratio(model, t) >= THRESHOLD:
+        if any(map(str.isdigit, t)) and any(map(str.isalpha, t)) and not taken.overlaps(*m.span()) and ratio(model, t) >= THRESHOLD:
             more.append((*m.span(), "random"))
     return base, more
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 
 #: (start, end, kind); offsets count code points, the end is exclusive.
 Span = tuple[int, int, str]
@@ -85,5 +86,27 @@ def sha256(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
 
-def overlaps(spans: list[Span], start: int, end: int) -> bool:
-    return any(s < end and start < e for s, e, _ in spans)
+def united(spans: list[Span]) -> list[Span]:
+    """Disjoint spans that cover the same text in order; one takes the kind of the longest span in it, the first of equals."""
+    out: list[list] = []
+    for s, e, kind in sorted(spans):
+        if out and s < out[-1][1]:
+            last = out[-1]
+            last[1] = max(last[1], e)
+            if e - s > last[3]:
+                last[2:] = kind, e - s
+        else:
+            out.append([s, e, kind, e - s])
+    return [(s, e, kind) for s, e, kind, _ in out]
+
+
+class Taken:
+    """Which places spans take, by bisection."""
+
+    def __init__(self, spans: list[Span]):
+        whole = united(spans)
+        self.starts, self.ends = [s for s, _, _ in whole], [e for _, e, _ in whole]
+
+    def overlaps(self, start: int, end: int) -> bool:
+        i = bisect_left(self.starts, end)
+        return i > 0 and self.ends[i - 1] > start

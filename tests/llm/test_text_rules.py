@@ -114,6 +114,56 @@ def test_discoveries_support_new_patterns(spark):
     assert all(got[410 + i] == "" for i in range(4)) and got[510] == ""
 
 
+def test_patterns_are_two_sided_and_whole():
+    key = lambda *w: int(pii._sided(pii._pairs(*(pii._word_keys([x]) for x in w[:2])), w[2]).view("int64")[0])
+    long = "y" * 500
+    text = f"{long} z{' ' * 300}user:a@b.cd, Room 12 1.2.3.4"
+    spans_ = [(m.start(), m.end()) for m in (re.search("a@b.cd", text), re.search(r"1\.2\.3\.4", text))]
+    assert pii.patterns_of(text, spans_) == [
+        [key("z", "user:", pii.BEFORE), key(",", "room", pii.AFTER), key("USER:", ",", pii.AROUND)],
+        [key("ROOM", "99", pii.BEFORE)],
+    ]
+    assert pii.patterns_of("1.2.3.4", [(0, 7)]) == [[]]
+    many = "1.2.3.4x@y.zz" * 30_000
+    pii.patterns_of(many, [s[:2] for f in spans.PERSONAL.values() for s in f(many)])
+    assert spans.united([(0, 8, "ip"), (0, 20, "email"), (5, 25, "card"), (25, 30, "ip"), (40, 41, "ip")]) == [(0, 25, "email"), (25, 30, "ip"), (40, 41, "ip")]
+    taken = spans.Taken([(5, 10, "a"), (0, 7, "b"), (20, 30, "c")])
+    for s in range(32):
+        for e in range(s + 1, 33):
+            assert taken.overlaps(s, e) == any(s < y and x < e for x, y in ((0, 10), (20, 30)))
+
+
+def test_discovery_of_planted_identifiers(spark):
+    """Precision and recall on planted contexts: identifiers in them are found, like tokens in other places aren't."""
+    rng = random.Random(41)
+    words = [f"w{i}" for i in range(400)]
+    prose = lambda n: " ".join("".join(c for c in rng.choice(words) if not c.isdigit()) + rng.choice("abcdefgh") * rng.randint(1, 4) for _ in range(n))
+    contexts = [("reach me on {} any time", "phone"), ("mail goes to {} as usual", "email"), ("host answers from {} right now", "ip")]
+    seed = {"phone": lambda: f"+1 415 555 {rng.randrange(1000, 9999)}", "email": lambda: f"u{rng.randrange(10**6)}@mail.org", "ip": lambda: f"10.{rng.randrange(256)}.{rng.randrange(256)}.{rng.randrange(256)}"}
+    unseen = {"phone": lambda: f"555-{rng.randrange(10**6, 10**7)}", "email": lambda: f"u{rng.randrange(10**6)}@localhost", "ip": lambda: f"host-{rng.randrange(10**5, 10**6)}"}
+    rows, want = [], {}
+    for i in range(600):
+        form, kind = contexts[i % 3]
+        what = (seed if i % 2 else unseen)[kind]()
+        text = f"{prose(20)} {form.format(what)} {prose(10)} part {rng.randrange(10**5, 10**6)} {prose(5)}"
+        rows.append((i, text))
+        if not i % 2:
+            at = text.index(what)
+            want[i] = f"{kind}:{at}:{at + len(what)}"
+    got = {r.doc_id: [x for x in r.spans.split(",") if x] for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    hits = sum(want[i] in got[i] for i in want)
+    extra = sum(len(got[i]) for i in want) - hits + sum(len(got[i]) - 1 for i in got if i not in want)
+    assert hits >= 0.95 * len(want) and extra <= 0.05 * hits, (hits, extra)
+
+
+def test_masking_joins_overlaps_and_long_tokens(spark):
+    seeds = [(i, f"note call desk at +1 (415) 555-{1000 + i} today") for i in range(8)]
+    long = "9" * 150 + "-" * 60
+    rows = [*seeds, (20, "10.0.0.1@example.com"), (21, "4111111111111111.jane@example.com and 1.2.3.4.bob@example.com"), (22, f"please call desk at {long}x today"), (23, "")]
+    got = {r.doc_id: r.text for r in pii.masked(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[20] == "[EMAIL]" and got[21] == "[EMAIL] and [EMAIL]" and got[22] == "please call desk at [PHONE] today" and got[23] == ""
+
+
 def test_secrets(spark):
     rng = random.Random(8)
     words = "Ordinary identifiers like my_long_variable_name_number_12 and some-path/with/parts of prose that goes on and on".split()
