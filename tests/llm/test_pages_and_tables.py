@@ -274,3 +274,42 @@ def test_shards(spark):
     assert all(sorted(r.slot for r in rs) == list(range(len(rs))) for rs in by.values())
     few = sharding.kd_shards(df.limit(3), {"size": F.octet_length("text")}).collect()
     assert len(few) == 3 and sharding.kd_shards(df.limit(0), {"size": F.octet_length("text")}).collect() == []
+
+
+def shards_of(rows):
+    by = {}
+    for r in rows:
+        by.setdefault(r.shard, []).append(r)
+    return by
+
+
+def test_shards_of_repeated_rows_are_equal(spark):
+    rows = [(None, "one text in many repeated rows")] * 2400 + [(i, "y" * 20) for i in range(240)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    by = shards_of(sharding.kd_shards(df, {"size": F.octet_length("text")}).collect())
+    total = sum(len((t or "").encode()) + 8 for _, t in rows)
+    assert set(by) == set(range(24)) and sum(map(len, by.values())) == len(rows)
+    assert all(abs(sum(r["size"] for r in v) - total / 24) <= 0.01 * total / 24 + 38 for v in by.values())
+    assert all(sorted(r.slot for r in v) == list(range(len(v))) for v in by.values())
+
+
+def test_cuts_are_weighted_medians(spark):
+    rng = random.Random(12)
+    rows = [(i, "z" * rng.randint(0, 80), rng.randrange(50)) for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kind int")
+    halves = shards_of(sharding.kd_shards(df, {"kind": F.col("kind")}, 2).collect())
+    kind = {i: k for i, _, k in rows}
+    assert max(kind[r.doc_id] for r in halves[0]) <= min(kind[r.doc_id] for r in halves[1])
+    sizes = sorted((k, len(t) + 8) for _, t, k in rows)
+    total = sum(s for _, s in sizes)
+    left = sum(r["size"] for r in halves[0])
+    assert abs(left - total / 2) <= sharding.TOLERANCE * total / 2
+    upto, median = 0, None
+    for k, s in sizes:
+        upto += s
+        if upto >= total / 2:
+            median = k
+            break
+    assert median in (max(kind[r.doc_id] for r in halves[0]), min(kind[r.doc_id] for r in halves[1]))
+    by = shards_of(sharding.kd_shards(df, {"kind": F.col("kind"), "size": F.octet_length("text")}).collect())
+    assert all(abs(sum(r["size"] for r in v) - total / 24) <= 0.01 * total / 24 + 88 for v in by.values())
