@@ -5,10 +5,12 @@ bands of 5. Two documents at the threshold of 0.85 miss every band with a chance
 
 Cases: a null or blank text has an empty set, links with nothing and is kept. Equal word sequences
 are one text: the least doc_id stands for them. A row whose doc_id is null links with nothing, has
-a null component and is kept. Repeated rows with one doc_id get the same answer each. Texts of any
-length are used whole. Other columns are ignored. An empty table gives an empty result.
+a null component and is kept. Repeated rows with one doc_id get the same answer each. Rows of one doc_id
+with different texts are answered by their own text each (text_hash, the xxhash64 of the text, tells them
+apart). Texts of any length are used whole. Other columns are ignored. An empty table gives an empty result.
 
-Skew: copies collapse to one representative before any bucket exists. In a bucket, members are
+Skew: copies collapse to one node before any bucket exists, and at the end texts of more than HOT rows
+(so one for HOT rows at most) find their component by broadcast. In a bucket, members are
 compared with the bucket's least member (a star, as many pairs as members). The members of buckets
 that still hold more than one component then go through an exact prefix-filter join: a pair at the
 threshold must share one of each side's rarest shingles, so a text that only resembles a large group
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
@@ -35,9 +38,11 @@ FUNCTIONS, BANDS, ROWS = 64, 25, 5
 SHINGLE_WORDS = 5
 #: Ratio of the sizes within one band of partner sizes.
 BAND = 1.03
+#: Rows from which a text is hot.
+HOT = 1_000_000
 
-_SIGNED = "doc_id long, digest binary, n_shingles long, bands array<long>"
-_SETS = "doc_id long, shingles binary"
+_SIGNED = "doc_id long, text_hash long, digest binary, n_shingles long, bands array<long>"
+_SETS = "node long, shingles binary"
 
 
 @cache
@@ -45,6 +50,10 @@ def _family() -> MinMax:
     return MinMax(FUNCTIONS, BANDS, ROWS)
 
 
+def _digest(words: np.ndarray) -> bytes:
+    return hashlib.blake2b(words.tobytes(), digest_size=16).digest()
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     family = _family()
     for batch in batches:
@@ -53,27 +62,35 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for text in texts(part):
                 words = normal_hashes(text)
                 s = shingle_set(words, SHINGLE_WORDS)
-                digests.append(hashlib.blake2b(words.tobytes(), digest_size=16).digest())
+                digests.append(_digest(words))
                 sizes.append(len(s))
                 bands.append(family.band_keys(s) if len(s) else np.empty(0, np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(b) for b in bands])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(bands) if bands else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), lists], ["doc_id", "digest", "n_shingles", "bands"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), lists], ["doc_id", "text_hash", "digest", "n_shingles", "bands"])
+
+
+def _node_sets(part: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+    """(node, shingle set) of the rows whose text is the node's."""
+    for node, digest, text in zip(part.column("node").to_pylist(), part.column("digest").to_pylist(), texts(part), strict=True):
+        words = normal_hashes(text)
+        if _digest(words) == digest:
+            yield node, shingle_set(words, SHINGLE_WORDS)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in text_slices(batch):
-            sets = [shingle_set(normal_hashes(t), SHINGLE_WORDS).tobytes() for t in texts(part)]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
+            found = [(node, s.tobytes()) for node, s in _node_sets(part)]
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.int64()), pa.array([s for _, s in found], pa.binary())], ["node", "shingles"])
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in text_slices(batch):
-            sets = [shingle_set(normal_hashes(t), SHINGLE_WORDS).view(np.int64) for t in texts(part)]
-            ids = np.repeat(part.column("doc_id").to_numpy(zero_copy_only=False), [len(s) for s in sets])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(sets))], ["doc_id", "shingle"])
+            found = list(_node_sets(part))
+            nodes = np.repeat(np.array([n for n, _ in found], np.int64), [len(s) for _, s in found])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(np.concatenate([s for _, s in found]).view(np.int64) if found else np.empty(0, np.int64))], ["node", "shingle"])
 
 
 def _confirm(percent: int):
@@ -90,44 +107,58 @@ def _confirm(percent: int):
     return run
 
 
-def _linked(pairs: DataFrame, texts_of: DataFrame, percent: int, label: str) -> DataFrame:
+@dataclass
+class _Texts:
+    """Finds the texts of nodes: nodes(node, rep, digest), rows(doc_id, text)."""
+
+    nodes: DataFrame
+    rows: DataFrame
+
+    def of(self, ids: DataFrame) -> DataFrame:
+        """(node, digest, text) of ids(node); a doc_id with other texts gives those too."""
+        wanted = self.nodes.join(ids, "node", "left_semi").select("node", F.col("rep").alias("doc_id"), "digest")
+        return self.rows.join(wanted, "doc_id").dropDuplicates(["node", "text_hash"]).select("node", "digest", "text")
+
+
+def _linked(pairs: DataFrame, texts_of: _Texts, percent: int, label: str) -> DataFrame:
     """The pairs (u, v) whose full shingle sets are similar enough."""
-    ids = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
-    sets = materialise(texts_of.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets, _SETS), f"{label}-sets")
-    x = sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("sx"))
-    y = sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("sy"))
+    ids = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+    sets = materialise(texts_of.of(ids).mapInArrow(_sets, _SETS).dropDuplicates(["node"]), f"{label}-sets")
+    x = sets.select(F.col("node").alias("u"), F.col("shingles").alias("sx"))
+    y = sets.select(F.col("node").alias("v"), F.col("shingles").alias("sy"))
     both = pairs.join(x, "u").join(y, "v").select("u", "v", "sx", "sy")
     return materialise(both.mapInArrow(_confirm(percent), "u long, v long"), f"{label}-links")
 
 
 def _stars(rows: DataFrame, percent: int) -> DataFrame:
     """Each member of a bucket against the bucket's least member, if they aren't in one component yet."""
-    centres = rows.groupBy("key").agg(F.min(F.struct("doc_id", "n", "component")).alias("c"), F.max("component").alias("hi"), F.min("component").alias("lo")).where("lo < hi")
+    centres = rows.groupBy("key").agg(F.min(F.struct("node", "n", "component")).alias("c"), F.max("component").alias("hi"), F.min("component").alias("lo")).where("lo < hi")
     fit = f"c.component <> component and 100 * least(n, c.n) >= {percent} * greatest(n, c.n)"
     pairs = rows.join(centres.select("key", "c"), "key").where(fit)
-    return pairs.select(F.col("c.doc_id").alias("u"), F.col("doc_id").alias("v")).distinct()
+    return pairs.select(F.col("c.node").alias("u"), F.col("node").alias("v")).distinct()
 
 
 def _with_components(rows: DataFrame, comps: DataFrame) -> DataFrame:
-    at = rows.join(comps.select(F.col("id").alias("doc_id"), F.col("component").alias("c")), "doc_id", "left")
-    return at.select("key", "doc_id", "n", F.coalesce("c", "doc_id").alias("component"))
+    at = rows.join(comps.select(F.col("id").alias("node"), F.col("component").alias("c")), "node", "left")
+    return at.select("key", "node", "n", F.coalesce("c", "node").alias("component"))
 
 
-def _prefixes(docs: DataFrame, texts_of: DataFrame, percent: int) -> DataFrame:
+def _prefixes(docs: DataFrame, texts_of: _Texts, percent: int) -> DataFrame:
     """The rarest shingles of each document: as many as a partner at the threshold can't all lack."""
-    words = texts_of.join(docs, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_tokens, "doc_id long, shingle long")
+    # Rows of one node with texts that differ in case or white space give its shingles more than once.
+    words = texts_of.of(docs.select("node")).mapInArrow(_tokens, "node long, shingle long").distinct()
     words = materialise(words, "tokens")
     often = words.groupBy("shingle").agg(F.count("*").alias("often"))
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("often", "shingle"))
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("often", "shingle"))
     size = F.expr(f"n - ceil({percent} * n / 100) + 1")
-    return words.join(often, "shingle").withColumn("rank", rank).join(docs, "doc_id").where(F.col("rank") <= size).select("doc_id", "n", "component", "mass", "rank", F.col("shingle").alias("key"))
+    return words.join(often, "shingle").withColumn("rank", rank).join(docs, "node").where(F.col("rank") <= size).select("node", "n", "component", "mass", "rank", F.col("shingle").alias("key"))
 
 
-def _residual(rows: DataFrame, comps: DataFrame, texts_of: DataFrame, percent: int) -> DataFrame:
+def _residual(rows: DataFrame, comps: DataFrame, texts_of: _Texts, percent: int) -> DataFrame:
     """Pairs of different components, in buckets that hold several, that share a rare shingle."""
     at = _with_components(rows, comps)
     many = at.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi and size > 2").select("key")
-    docs = at.join(many, "key", "left_semi").select("doc_id", "n", "component").distinct()
+    docs = at.join(many, "key", "left_semi").select("node", "n", "component").distinct()
     mass = docs.groupBy("component").agg(F.count("*").alias("mass"))
     docs = materialise(docs.join(mass, "component"), "apart")
     pre = materialise(_prefixes(docs, texts_of, percent), "prefixes")
@@ -140,30 +171,37 @@ def _residual(rows: DataFrame, comps: DataFrame, texts_of: DataFrame, percent: i
     band = lambda n: F.floor(F.log(n.cast("double")) / F.log(F.lit(BAND)))
     bands = F.sequence(band(F.col("n") * percent / 100), band(F.col("n") * 100 / percent))
     early = F.filter(bands, lambda b: F.col("rank") <= F.col("n") + 1 - share * (F.col("n") + F.pow(F.lit(BAND), b)) + 0.001)
-    x = pre.where("component <> top").select("key", F.explode(early).alias("band"), F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"), F.col("rank").alias("rx"))
-    y = pre.select("key", band(F.col("n")).alias("band"), F.col("doc_id").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"), F.col("rank").alias("ry"), (F.col("component") == F.col("top")).alias("at_top"))
+    x = pre.where("component <> top").select("key", F.explode(early).alias("band"), F.col("node").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"), F.col("rank").alias("rx"))
+    y = pre.select("key", band(F.col("n")).alias("band"), F.col("node").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"), F.col("rank").alias("ry"), (F.col("component") == F.col("top")).alias("at_top"))
     fit = f"cx <> cy and (at_top or x < y) and 100 * least(nx, ny) >= {percent} * greatest(nx, ny) and (1 + least(nx - rx, ny - ry)) * {100 + percent} >= {percent} * (nx + ny)"
     pairs = x.join(y, ["key", "band"]).where(fit)
     return pairs.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs; links have 100 * intersection >= percent * union."""
-    base = keyed(docs, id_col, text_col)
+    """doc_id, n_shingles, component_id, kept, text_hash for every row of docs; links have 100 * intersection >= percent * union."""
+    base = keyed(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
     signed = materialise(base.mapInArrow(_sign, _SIGNED), "signed")
-    reps = signed.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    bands = signed.where("n_shingles > 0").join(reps, "digest").where("doc_id = rep").select("doc_id", F.col("n_shingles").alias("n"), "bands").dropDuplicates(["doc_id"])
-    rows = bands.select("doc_id", "n", F.explode("bands").alias("key"))
-    one_text = base.where("doc_id is not null")
+    some = signed.where("n_shingles > 0 and doc_id is not null")
+    nodes = some.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"))
+    nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    texts_of = _Texts(nodes, base.where("doc_id is not null"))
+    bands = some.join(nodes.select("digest", "rep", "node"), "digest").where("doc_id = rep").select("node", F.col("n_shingles").alias("n"), "bands").dropDuplicates(["node"])
+    rows = bands.select("node", "n", F.explode("bands").alias("key"))
 
     multi = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    rows = materialise(rows.join(multi, "key", "left_semi").withColumn("component", F.col("doc_id")), "buckets")
-    links = _linked(_stars(rows, percent), one_text, percent, "star")
-    more = _linked(_residual(rows, components(links), one_text, percent), one_text, percent, "residual")
-    comps = components(links.union(more))
-
-    group = reps.join(comps.select(F.col("id").alias("rep"), "component"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    out = signed.join(group, "digest", "left")
-    own = F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component")), F.col("doc_id"))
-    own = F.when(F.col("doc_id").isNotNull(), own)
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
+    rows = materialise(rows.join(multi, "key", "left_semi").withColumn("component", F.col("node")), "buckets")
+    links = _linked(_stars(rows, percent), texts_of, percent, "star")
+    more = _linked(_residual(rows, components(links), texts_of, percent), texts_of, percent, "residual")
+    comps = components(links.union(more)).withColumnRenamed("id", "node")
+
+    least = comps.join(nodes, "node").groupBy("component").agg(F.min("rep").alias("least"))
+    named = nodes.join(comps.join(least, "component"), "node", "left").select("digest", "rows", F.coalesce("least", "rep").alias("component"))
+    named = materialise(named, "named")
+    hot, cold = named.where(F.col("rows") > HOT).drop("rows"), named.where(F.col("rows") <= HOT).drop("rows")
+    at_hot = some.join(F.broadcast(hot), "digest")  # hot has at most one row for HOT rows of docs
+    at_cold = some.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(cold, "digest")
+    alone = signed.where("n_shingles = 0 or doc_id is null").withColumn("component", F.col("doc_id"))
+    out = at_hot.unionByName(at_cold).unionByName(alone)
+    kept = F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True))
+    return out.select("doc_id", "n_shingles", F.col("component").alias("component_id"), kept.alias("kept"), "text_hash")

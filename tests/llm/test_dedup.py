@@ -59,3 +59,22 @@ def test_odd_rows(spark):
     got = sorted((str(r.doc_id), str(r.component_id), r.kept) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == [("2", "2", True), ("2", "2", True), ("5", "2", False), ("None", "None", True)]
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_rows_of_one_id_with_different_texts(spark):
+    first, second = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    rows = [(3, first), (5, first), (5, second), (5, second.upper()), (7, second + " more"), (2, "z " + " ".join(f"c{i}" for i in range(30))), (2, second)]
+    for parts in (1, 5):
+        got = {(r.doc_id, r.text_hash): (r.component_id, r.kept) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()}
+        texts = {r.h: (r.doc_id, r.text) for r in spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "xxhash64(text) as h").collect()}
+        assert sorted((d, texts[h][1][:2], *v) for (d, h), v in got.items()) == [(2, "b0", 2, True), (2, "z ", 2, True), (3, "a0", 3, True), (5, "B0", 2, False), (5, "a0", 3, False), (5, "b0", 2, False), (7, "b0", 2, False)]
+
+
+def test_hot_texts_and_long_texts(spark, monkeypatch):
+    from loomgraph.llm import near_dedup
+
+    monkeypatch.setattr(near_dedup, "HOT", 20)
+    long = " ".join(f"w{i}" for i in range(100_000))
+    rows = [(i, "one text that many rows hold") for i in range(10, 60)] + [(1, long), (2, long + " and more"), (3, None)]
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: 10 for i in range(10, 60)} | {1: 1, 2: 1, 3: 3}
