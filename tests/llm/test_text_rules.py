@@ -1,3 +1,4 @@
+import base64
 import hashlib
 import random
 import re
@@ -84,6 +85,43 @@ def test_quality_keeps_clean_and_rejects_junk(spark):
     assert quality.quality(df.limit(0), lab).collect() == []
 
 
+def test_ratio_and_cut_match_brute_force(spark):
+    """Scores from plain counts of words and pairs (a vocabulary without collisions), the cut by trying every place."""
+    import math
+
+    rows, labels = documents(120)
+    got = quality.quality(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    label = {i: q for i, q, _ in labels}
+    cells = {i: quality.ngram_buckets(word_hashes(utf8(t), *word_spans(utf8(t)))).tolist() for i, t in rows}
+    raw, target = {}, {}
+    for i, own in cells.items():
+        for c in own:
+            raw[c] = raw.get(c, 0) + 1
+            if label.get(i) == 1:
+                target[c] = target.get(c, 0) + 1
+    smooth = lambda of, c, less=0, n=0: math.log((of.get(c, 0) - less + 0.5) / (sum(of.values()) - n + 0.5 * quality.BUCKETS))
+    fit = {}
+    for r in got:
+        own = cells[r.doc_id]
+        assert abs(r.llr - sum(smooth(target, c) - smooth(raw, c) for c in own) / len(own)) < 1e-8
+        if label.get(r.doc_id) == 1:
+            assert abs(r.held_out - sum(smooth(target, c, own.count(c), len(own)) - smooth(raw, c) for c in own) / len(own)) < 1e-8
+        fit[r.doc_id] = r.llr if r.held_out is None else r.held_out
+    good, bad = ([math.floor(fit[i] * 500) for i, q in label.items() if q == v] for v in (1, 0))
+    below = lambda cut, of: sum(c < cut for c in of)
+    cuts = [c for c in sorted(set(good + bad)) if below(c, good) <= (1 - quality.KEEP_GOOD) * len(good)]
+    best = max(cuts, key=lambda c: (below(c, bad) / len(bad) - below(c, good) / len(good), -c))
+    under = max((c for c in good + bad if c < best), default=best - 1)
+    assert all(r.kept == (not r.base_failed and r.llr >= (under + 1 + best) / 1000) for r in got)
+
+
+def test_labelled_sample_is_the_least_hashes(spark):
+    labels = spark.range(5000).selectExpr("id as doc_id", "cast(id % 2 as int) as quality")
+    got = {r.doc_id for r in quality.labelled_sample(labels, 100).collect()}
+    want = {r.doc_id for r in labels.selectExpr("doc_id", "xxhash64(doc_id) as h").orderBy("h").limit(100).collect()}
+    assert got == want and quality.labelled_sample(labels, 6000).count() == 5000
+
+
 def test_personal_data(spark):
     tens = [(i, f"note {i} my badge AB-{10000 + i} was lost, call desk at +1 (415) 555-{1000 + i} today") for i in range(8)]
     more = [(50 + i, f"please call desk at 5550{i}19 today") for i in range(3)]
@@ -175,5 +213,25 @@ def test_secrets(spark):
     assert got[101].spans == "assign:0:19" and got[102].spans == "" and got[None].n_access == 1
     assert all(got[i].spans == "" for i in range(60))
     held_out = secrets.random_strings(300, seed=99)
-    model = secrets.random_model(spark.createDataFrame(rows[:60], "doc_id long, text string"))
-    assert sum(secrets.ratio(model, s) >= secrets.THRESHOLD for _, s in held_out) > 280
+    models = secrets.trained(spark.createDataFrame(rows[:60], "doc_id long, text string"))
+    assert sum(models.ratio(s) >= secrets.THRESHOLD for _, s in held_out) > 280
+    # Held out from both samples: digests in several alphabets, and names of libraries that no model has seen.
+    digest = lambda i: hashlib.sha512(f"held out {i}".encode()).digest()
+    forms = [bytes.hex, lambda d: base64.b32encode(d).decode(), lambda d: base64.b64encode(d).decode(), lambda d: base64.urlsafe_b64encode(d).decode()]
+    keys = [forms[i % 4](digest(i))[: 16 + i % 48] for i in range(1000)]
+    names = [x for x in secrets.identifiers(["pyspark.sql.functions", "pyspark.sql.types", "numpy", "pandas", "pyarrow"]) if len(x) >= secrets.MIN_LENGTH]
+    names += ["/".join(names[i : i + 3]) for i in range(0, 300, 3)] + [f"{x}_{i}" for i, x in enumerate(names[:300])]
+    recall = sum(models.ratio(k) >= secrets.THRESHOLD for k in keys) / len(keys)
+    wrong = sum(models.ratio(x) >= secrets.THRESHOLD for x in names) / len(names)
+    assert len(names) > 600 and recall >= 0.99 and wrong <= 0.002, (recall, wrong)
+
+
+def test_secrets_odd_rows(spark):
+    key, letters = "q7RtXz0Lp2Vb9KfJ", "KxVbQzWjGfYpHtRmDn"
+    text = f"see {key} and {letters} here"
+    rows = [(1, text), (1, text), (2, "ordinary words of a text " * 20_000 + key), (3, ""), (None, None), (4, "ordinary" * 25_000), (5, "https://example.org/some/usual/path-to-a-page 4571475004921503 ========================")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as spans", "1 as n_hex", "'y' as counts")
+    got = sorted(((r.doc_id or 0, r.spans) for r in secrets.secrets(df).collect()))
+    both = f"random:4:20,random:25:{25 + len(letters)}"
+    assert got == [(0, ""), (1, both), (1, both), (2, f"random:500000:{500_000 + len(key)}"), (3, ""), (4, ""), (5, "")]
+    assert secrets.secrets(df.limit(0)).collect() == []
