@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,10 +20,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Tables written by this process and not dropped yet.
+_WRITTEN: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a temporary one in local mode, else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='loomgraph-')}"
         spark.sparkContext.setCheckpointDir(base)
         base = spark.sparkContext.getCheckpointDir()
@@ -31,14 +39,40 @@ def shared_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write df once to the shared folder and read it back.
 
-    The written table cuts the lineage: a lost executor costs a re-read, not a recomputation.
+    The written table cuts the lineage: a lost executor costs a re-read, not a recomputation. It stays until
+    `drop_written`, as what is returned reads it whenever it runs.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomgraph-{label}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_written(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Delete the tables written after the first `since`, but for the last `keep`; for callers that have stored what they read."""
+    gone = _WRITTEN[since : len(_WRITTEN) - keep]
+    del _WRITTEN[since : len(_WRITTEN) - keep]
+    for name in gone:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def written() -> int:
+    return len(_WRITTEN)
+
+
+def without_gc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, with the collector of cycles off until the last is done: for work that makes no cycles over a large cache."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield from batches
+    finally:
+        if on:
+            gc.enable()
+
+
 def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Split a batch into runs of rows with about `limit` bytes of text each (one row at least)."""
     start = size = 0

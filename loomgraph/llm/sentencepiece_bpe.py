@@ -12,7 +12,6 @@ nothing. Characters outside the vocabulary become byte pieces. An empty table gi
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import re
 from collections.abc import Iterator
@@ -22,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from loomgraph.llm.common import keyed, text_slices, texts
+from loomgraph.llm.common import keyed, text_slices, texts, without_gc
 from loomgraph.llm.merging import Merges
 
 #: The first segments a worker meets stay known; the others live as long as their slice of texts.
@@ -153,8 +152,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
-        gc.disable()  # nothing here makes cycles, and passes over a large cache cost more than the work
-        for batch in batches:
+        for batch in without_gc(batches):
             for part in text_slices(batch, limit=SLICE_BYTES):
                 counts, ids, decoded, own = [], [], [], []
                 for n, text_ids, data in m.encode(texts(part)):

@@ -12,7 +12,6 @@ through. Repeated rows and other columns change nothing. An empty table gives an
 
 from __future__ import annotations
 
-import gc
 import json
 import re
 from collections.abc import Iterator
@@ -23,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from loomgraph.llm.common import keyed, text_slices, texts
+from loomgraph.llm.common import keyed, text_slices, texts, without_gc
 from loomgraph.llm.merging import Merges
 
 HOT_CHUNKS = 60_000
@@ -116,8 +115,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
-        gc.disable()  # nothing here makes cycles, and passes over a large cache cost more than the work
-        for batch in batches:
+        for batch in without_gc(batches):
             for part in text_slices(batch, limit=SLICE_BYTES):
                 many = texts(part)
                 n = m.count(many)

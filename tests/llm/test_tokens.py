@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 import public_tokenizers
-import pytest
+import tokenizers
 
 from loomgraph.llm import merging, sentencepiece_bpe, token_counts
 
@@ -26,7 +26,6 @@ def test_sentencepiece_equals_the_library():
 
 
 def test_counts_equal_the_library():
-    tokenizers = pytest.importorskip("tokenizers")
     path = public_tokenizers.path("byte_bpe_50k.json")
     m, lib, texts = token_counts.ByteModel(path), tokenizers.Tokenizer.from_file(path), fuzz(6000)
     assert m.count(texts) == [len(e.ids) for e in lib.encode_batch(texts, add_special_tokens=False)]
@@ -52,3 +51,26 @@ def test_queries_on_odd_rows(spark):
     counts = token_counts.token_counts(df, public_tokenizers.path("byte_bpe_50k.json")).collect()
     assert sorted(r.n_bytes for r in counts) == [0, 0, 11, 50_000, 50_000] and sum(r.over_limit for r in counts) == 2
     assert token_counts.token_counts(df.limit(0), public_tokenizers.path("byte_bpe_50k.json")).collect() == []
+    assert sentencepiece_bpe.encode(df.limit(0), public_tokenizers.path("piece_bpe_32k.model")).collect() == []
+
+
+def test_collector_is_on_again():
+    import gc
+
+    from loomgraph.llm.common import without_gc
+
+    assert [gc.isenabled() for _ in without_gc(iter([1, 2]))] == [False, False] and gc.isenabled()
+
+
+def test_written_tables_can_be_dropped(spark, tmp_path):
+    from pathlib import Path
+
+    from loomgraph.llm import common
+
+    base = Path(common.shared_dir(spark).removeprefix("file:"))
+    since = common.written()
+    first, second = common.materialise(spark.range(3), "dropped"), common.materialise(spark.range(4), "kept")
+    common.drop_written(spark, since, 1)
+    assert second.count() == 4 and not list(base.glob("loomgraph-dropped-*")) and common.written() == since + 1
+    common.drop_written(spark, since)
+    assert not list(base.glob("loomgraph-kept-*"))
