@@ -50,7 +50,7 @@ WIDTH = 5
 _PUNCTUATION = np.zeros(256, bool)
 _PUNCTUATION[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 _POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
-_FOUND = "doc_id long, item_id long, similarity double, start_word long, n_words long"
+_FOUND = "doc_id long, text_hash long, item_id long, similarity double, start_word long, n_words long"
 
 
 def plain_hashes(text: str) -> np.ndarray:
@@ -181,9 +181,12 @@ def _built(name: str, items: list, threshold: float) -> Benchmark:
     return _BUILT[name]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """doc_id, item_id, similarity, start_word, n_words: each document that holds an item, with its best window."""
-    base = keyed(docs, id_col, text_col)
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", by_text: bool = False) -> DataFrame:
+    """doc_id, item_id, similarity, start_word, n_words: each document that holds an item, with its best window.
+
+    With by_text, texts of one doc_id are told apart: text_hash names the text.
+    """
+    base = keyed(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
     rows = benchmark.select(benchmark[item_col].cast("long").alias("i"), F.coalesce(benchmark[item_text_col], F.lit("")).alias("t")).toLocalIterator()
     found: list[DataFrame] = []
     block, chars = [], 0
@@ -195,9 +198,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
             known = _built(name, items, threshold)
             for batch in batches:
                 for part in text_slices(batch):
-                    out = [(d, *m) for d, t in zip(part.column("doc_id").to_pylist(), texts(part), strict=True) for m in known.matches(t)]
-                    cols = list(zip(*out, strict=True)) if out else [[]] * 5
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()), strict=True)], [x.split()[0] for x in _FOUND.split(", ")])
+                    out = [(d, x, *m) for d, x, t in zip(part.column("doc_id").to_pylist(), part.column("text_hash").to_pylist(), texts(part), strict=True) for m in known.matches(t)]
+                    cols = list(zip(*out, strict=True)) if out else [[]] * 6
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()), strict=True)], [x.split()[0] for x in _FOUND.split(", ")])
 
         return base.mapInArrow(run, _FOUND)
 
@@ -209,4 +212,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
         chars += len(r.t)
     found.append(one_pass(block))
     best = F.max_by(F.struct("similarity", "start_word", "n_words"), F.struct("similarity", -F.col("start_word"))).alias("m")
-    return reduce(DataFrame.union, found).groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", F.round("m.similarity", 6).alias("similarity"), F.col("m.start_word").alias("start_word"), F.col("m.n_words").alias("n_words"))
+    keys = ["doc_id", "text_hash"] if by_text else ["doc_id"]
+    return reduce(DataFrame.union, found).groupBy(*keys, "item_id").agg(best).select(*keys, "item_id", F.round("m.similarity", 6).alias("similarity"), F.col("m.start_word").alias("start_word"), F.col("m.n_words").alias("n_words"))
