@@ -131,8 +131,8 @@ def _linked(pairs: DataFrame, texts_of: _Texts, percent: int, label: str) -> Dat
 
 
 def _stars(rows: DataFrame, percent: int) -> DataFrame:
-    """Each member of a bucket against the bucket's least member, if they aren't in one component yet."""
-    centres = rows.groupBy("key").agg(F.min(F.struct("node", "n", "component")).alias("c"), F.max("component").alias("hi"), F.min("component").alias("lo")).where("lo < hi")
+    """Each member of a bucket against the bucket's member of least doc_id, most often the original, if they aren't in one component yet."""
+    centres = rows.groupBy("key").agg(F.min(F.struct("rep", "node", "n", "component")).alias("c"), F.max("component").alias("hi"), F.min("component").alias("lo")).where("lo < hi")
     fit = f"c.component <> component and 100 * least(n, c.n) >= {percent} * greatest(n, c.n)"
     pairs = rows.join(centres.select("key", "c"), "key").where(fit)
     return pairs.select(F.col("c.node").alias("u"), F.col("node").alias("v")).distinct()
@@ -186,8 +186,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     nodes = some.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"))
     nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     texts_of = _Texts(nodes, base.where("doc_id is not null"))
-    bands = some.join(nodes.select("digest", "rep", "node"), "digest").where("doc_id = rep").select("node", F.col("n_shingles").alias("n"), "bands").dropDuplicates(["node"])
-    rows = bands.select("node", "n", F.explode("bands").alias("key"))
+    bands = some.join(nodes.select("digest", "rep", "node"), "digest").where("doc_id = rep").select("rep", "node", F.col("n_shingles").alias("n"), "bands").dropDuplicates(["node"])
+    rows = bands.select("rep", "node", "n", F.explode("bands").alias("key"))
 
     multi = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     rows = materialise(rows.join(multi, "key", "left_semi").withColumn("component", F.col("node")), "buckets")
