@@ -50,6 +50,7 @@ WIDTH = 5
 _PUNCTUATION = np.zeros(256, bool)
 _PUNCTUATION[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 _POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
+_BITS = (_POPCOUNT[:, None] + _POPCOUNT[None, :]).ravel()
 _FOUND = "doc_id long, text_hash long, item_id long, similarity double, start_word long, n_words long"
 
 
@@ -72,25 +73,33 @@ def fingerprints(sums: np.ndarray) -> np.ndarray:
 
 def near_masks(bits: int) -> np.ndarray:
     """All 16-bit values with at most `bits` bits set."""
-    values = np.arange(1 << 16, dtype=np.uint16)
-    return values[_POPCOUNT[values & 255] + _POPCOUNT[values >> 8] <= bits]
+    return np.flatnonzero(_BITS <= bits).astype(np.uint16)
 
 
 _MASKS = {r: near_masks(r // BLOCKS) for r in (RADIUS, SHORT_RADIUS)}
 
 
 class BlockIndex:
-    """Fingerprints in one hash table per block: a block's value -> the items that have it."""
+    """Fingerprints in one hash table per block: a block's value -> the items that have it.
+
+    With fewer items than near values, their block values are compared one by one instead, with the same result.
+    """
 
     def __init__(self, prints: np.ndarray):
         self.prints = prints
+        self.few = len(prints) < len(_MASKS[RADIUS])
         keys = prints.view(np.uint16)
+        if self.few:
+            return
         self.order = np.argsort(keys, axis=0, kind="stable").T.copy()
         self.starts = np.stack([np.searchsorted(keys[o, k], np.arange((1 << 16) + 1)) for k, o in enumerate(self.order)]).astype(np.int32)
 
     def blocked(self, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
         """Distinct (window, item) pairs with a block within radius // BLOCKS bits."""
         keys, n = prints.view(np.uint16), len(self.prints)
+        if self.few:
+            apart = keys[:, None, :] ^ self.prints.view(np.uint16)[None, :, :]
+            return np.nonzero((_BITS[apart] <= radius // BLOCKS).any(axis=2))
         pairs = [np.empty(0, np.int64)]
         for k in range(BLOCKS):
             probed = keys[:, k, None] ^ _MASKS[radius][None, :]
@@ -127,11 +136,13 @@ class Benchmark:
             if len(h):
                 width = min(WIDTH, len(h))
                 of.setdefault(width, []).append((item, windows(h, width)))
-        self.of = dict(sorted(of.items()))
-        self.known = {w: np.unique(np.concatenate([s for _, s in v])) for w, v in self.of.items()}
-        self.size = {w: np.array([len(s) for _, s in v]) for w, v in self.of.items()}
-        self.shingles = {w: [np.unique(s, return_counts=True) for _, s in v] for w, v in self.of.items()}
-        self.index = {w: BlockIndex(np.concatenate([fingerprints(simhash_signs(s).sum(axis=0, keepdims=True)) for _, s in v])) for w, v in self.of.items()}
+        self.known = {w: np.unique(np.concatenate([s for _, s in v])) for w, v in sorted(of.items())}
+        self.sized: dict[int, dict[int, list]] = {}
+        for w, v in of.items():
+            for item, s in v:
+                self.sized.setdefault(w, {}).setdefault(len(s), []).append((item, s))
+        self.shingles = {(w, m): [(item, np.unique(s, return_counts=True)) for item, s in v] for w, by in self.sized.items() for m, v in by.items()}
+        self.index = {(w, m): BlockIndex(np.concatenate([fingerprints(simhash_signs(s).sum(axis=0, keepdims=True)) for _, s in v])) for w, by in self.sized.items() for m, v in by.items()}
 
     def matches(self, text: str) -> list[tuple[int | None, float, int, int]]:
         """(item, similarity, first word, words) of the best window of each item found."""
@@ -145,15 +156,15 @@ class Benchmark:
             hits = np.concatenate([[0], np.cumsum(known[at] == s)])
             if not hits[-1]:
                 continue
-            for m in np.unique(self.size[width]).tolist():
+            for m in sorted(self.sized[width]):
                 n, least = min(m, len(s)), ceil(self.threshold * m)
                 if n < least:
                     continue
                 starts = np.flatnonzero(hits[n:] - hits[:-n] >= least)
                 for run in np.split(starts, np.flatnonzero((np.diff(starts) > n) | (np.diff(starts // SPAN) > 0)) + 1):
                     for p, b in self._near(s, run, n, width, m):
-                        item = self.of[width][b][0]
-                        similarity = weighted_similarity(np.unique(s[p : p + n], return_counts=True), self.shingles[width][b])
+                        item, own = self.shingles[width, m][b]
+                        similarity = weighted_similarity(np.unique(s[p : p + n], return_counts=True), own)
                         if similarity >= self.threshold and similarity > best.get(item, (0.0,))[0]:
                             best[item] = (similarity, p, n + width - 1)
         return [(i, *found) for i, found in best.items()]
@@ -165,9 +176,8 @@ class Benchmark:
         lo, hi = int(starts[0]), int(starts[-1]) + n
         sums = np.zeros((hi - lo + 1, 128), np.int32)
         np.cumsum(simhash_signs(s[lo:hi]), axis=0, out=sums[1:])
-        window, item = self.index[width].candidates(fingerprints(sums[starts + n - lo] - sums[starts - lo]), RADIUS if n == m else SHORT_RADIUS)
-        own = self.size[width][item] == m
-        yield from zip(starts[window[own]].tolist(), item[own].tolist(), strict=True)
+        window, item = self.index[width, m].candidates(fingerprints(sums[starts + n - lo] - sums[starts - lo]), RADIUS if n == m else SHORT_RADIUS)
+        yield from zip(starts[window].tolist(), item.tolist(), strict=True)
 
 
 #: The index of the block that this Python worker looked up last, by the block's name.

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from compare import connect, differences
 from pyspark.sql import functions as F
 
@@ -185,21 +186,24 @@ def test_documents_shorter_than_an_item_are_leaks(spark):
     assert {(r.doc_id, r.item_id): (r.similarity, r.start_word, r.n_words) for r in got} == want
 
 
-def test_block_index_finds_all_within_the_radius_and_selects():
+@pytest.mark.parametrize("size", [400, 900])
+def test_block_index_finds_all_within_the_radius_and_selects(size):
+    """400 items are compared one by one, 900 looked up in the tables."""
     import numpy as np
 
     rng = np.random.default_rng(3)
-    items = rng.integers(0, 256, (400, 16)).astype(np.uint8)
+    items = rng.integers(0, 256, (size, 16)).astype(np.uint8)
     index = decontaminate.BlockIndex(items)
+    assert index.few == (size == 400)
     for radius in (decontaminate.RADIUS, decontaminate.SHORT_RADIUS):
-        flips = np.zeros((400, 128), np.uint8)
-        for i in range(400):
+        flips = np.zeros((size, 128), np.uint8)
+        for i in range(size):
             flips[i, rng.choice(128, rng.integers(radius - 6, radius + 3), replace=False)] = 1
-        asked = np.concatenate([items ^ np.packbits(flips, axis=1), rng.integers(0, 256, (400, 16)).astype(np.uint8)])
-        far = np.array([[np.unpackbits(a ^ b).sum() for b in items] for a in asked])
+        asked = np.concatenate([items ^ np.packbits(flips, axis=1), rng.integers(0, 256, (size, 16)).astype(np.uint8)])
+        far = np.array([np.unpackbits(a ^ items, axis=1).sum(axis=1) for a in asked])
         w, i = index.candidates(asked, radius)
         assert set(zip(w.tolist(), i.tolist(), strict=True)) == set(zip(*(x.tolist() for x in np.nonzero(far <= radius)), strict=True))
-    share = len(index.blocked(asked[400:], decontaminate.RADIUS)[0]) / 400**2
+    share = len(index.blocked(asked[size:], decontaminate.RADIUS)[0]) / size**2
     assert 0.05 < share < 0.1
 
 
