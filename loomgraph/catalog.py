@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import ids, text, vectors
-from loomgraph.operators import filters, graph, rank, traverse, vector
+from loomgraph.operators import ann, filters, graph, lookup, rank, traverse, vector
+from loomgraph.operators.numbering import running
 from loomgraph.plans import cache, ingest, metrics, request, security, session
 from loomgraph.plans.engine import Engine
 from loomgraph.runtime import materialise
@@ -159,6 +160,23 @@ def vector_upsert(spark, sf_dir):
     return out.select("id", F.round(F.col("embedding")[0], 4).alias("first_dim"))
 
 
+@query("vec_topk_approx")
+def vec_topk_approx(spark, sf_dir):
+    """The same queries as vec_topk_batched over an index of clusters; its recall is vec_approx_recall."""
+    e = table(spark, sf_dir, "embeddings")
+    found = ann.ClusterIndex.build(e, "vec_id").search(e.where("vec_id % 50 = 0"), 10, "vec_id")
+    return found.select("query_id", "id", F.round("score", 5).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@query("vec_approx_recall", "SELECT true AS reached")
+def vec_approx_recall(spark, sf_dir):
+    """Whether the approximate search finds nine of ten exact neighbours."""
+    e = table(spark, sf_dir, "embeddings")
+    asked = e.where("vec_id % 50 = 0")
+    exact = vector.batched_top_k(e, asked, 10, "vec_id")
+    return ann.recall(ann.ClusterIndex.build(e, "vec_id").search(asked, 10, "vec_id"), exact).select((F.col("recall") >= 0.9).alias("reached"))
+
+
 # ---- graph traversal ---------------------------------------------------------------------------
 
 START = 3 * BILLION + 1
@@ -246,12 +264,12 @@ def dangling_edge_violations(spark, sf_dir):
     return traverse.dangling(edges, e).select("source", "target", "missing")
 
 
-@query("session_overlay_neighbors", "SELECT conv_id AS session, turn AS source, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS target FROM conversations QUALIFY target IS NOT NULL")
+@query("session_overlay_neighbors", "SELECT * FROM (SELECT conv_id AS session, turn AS source, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS target FROM conversations QUALIFY target IS NOT NULL) UNION ALL SELECT -1, n_nationkey, n_regionkey FROM nation")
 def session_overlay_neighbors(spark, sf_dir):
-    """next_turn edges of every conversation, the session graph that lies over the base graph."""
+    """next_turn edges of every conversation, the session graph that lies over the base graph of nations in regions."""
+    base = table(spark, sf_dir, "nation").select(F.lit(-1).cast("bigint").alias("session"), F.col("n_nationkey").cast("bigint").alias("source"), F.col("n_regionkey").cast("bigint").alias("target"), F.col("n_nationkey").cast("bigint").alias("seq"))
     nxt = F.lead("turn").over(Window.partitionBy("conv_id").orderBy("turn"))
     mine = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session"), F.col("turn").alias("source"), nxt.alias("target")).where("target is not null")
-    base = mine.limit(0).select("session", "source", "target", F.lit(0).cast("bigint").alias("seq"))
     return session.overlay_edges(base, mine.withColumn("seq", F.col("source"))).select("session", "source", "target")
 
 
@@ -369,6 +387,28 @@ def hybrid_local_search(spark, sf_dir):
     return rank.ranked(scored, 10).where("not pruned").select("id", "hop", F.round("score", 5).alias("score"))
 
 
+@query("alias_resolve", "WITH a AS (SELECT n_name AS alias, arg_max(n_nationkey, n_nationkey) AS id FROM (SELECT n_name, n_nationkey FROM nation UNION ALL SELECT 'CANADA', 99) GROUP BY 1) SELECT c_custkey AS customer, CAST(a.id AS BIGINT) AS id FROM customer JOIN nation ON n_nationkey = c_nationkey LEFT JOIN a ON a.alias = n_name AND n_regionkey <> 1 OR (a.alias = 'CANADA' AND n_name = 'CANADA')")
+def alias_resolve(spark, sf_dir):
+    """Customers by their nation's name; one alias is registered again, and names of region 1 are unknown but for it."""
+    nation = table(spark, sf_dir, "nation")
+    first = nation.where("n_regionkey <> 1").select(F.col("n_name").alias("alias"), F.col("n_nationkey").cast("bigint").alias("id"), F.lit(0).alias("seq"))
+    again = spark.createDataFrame([("CANADA", 99, 1)], "alias string, id bigint, seq int")
+    names = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("customer"), F.col("n_name").alias("alias"))
+    return lookup.resolve(names, first.unionByName(again)).select("customer", "id")
+
+
+@query("node_id_listing", "SELECT doc_id AS id FROM documents JOIN embeddings ON doc_id = vec_id UNION SELECT conv_id FROM conversations")
+def node_id_listing(spark, sf_dir):
+    """Ids of the hybrid nodes and of a session that holds the conversations."""
+    return lookup.node_ids(hybrid_nodes(spark, sf_dir), table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("id")))
+
+
+@query("graph_counts", f"WITH {EDGES} SELECT (SELECT count(*) FROM e) AS edges, (SELECT count(*) FROM (SELECT source FROM e UNION SELECT target FROM e)) AS nodes")
+def graph_counts(spark, sf_dir):
+    edges = edge_table(spark, sf_dir)
+    return edges.agg(F.count("*").alias("edges")).crossJoin(graph.graph_nodes(edges).agg(F.count("*").alias("nodes")))  # one row each
+
+
 # ---- whole-graph analytics ---------------------------------------------------------------------
 
 
@@ -437,7 +477,8 @@ def global_node_ids(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").where("label < 3")
     sets = e.groupBy("label").agg(F.array_sort(F.collect_list("vec_id")).alias("node_ids"))
     first = sets.select("label", F.posexplode("node_ids")).groupBy(F.col("col").alias("id")).agg(F.min(F.struct("label", "pos")).alias("at"))
-    return first.select("id", F.row_number().over(Window.orderBy("at")).cast("bigint").alias("place"))
+    flat = first.select("id", F.col("at.label").alias("label"), F.col("at.pos").alias("pos"))
+    return running(flat, ["label", "pos"], None, "place").select("id", (F.col("place") + 1).alias("place"))
 
 
 @query("leiden_communities")
@@ -483,7 +524,7 @@ def edge_state_after_deletes(spark, sf_dir):
     node = F.lit(None).cast("struct<id:bigint,embedding:array<float>,data:string,metadata:map<string,string>>")
     log = ev.select(F.col("event_id").alias("lsn"), F.lit(0).alias("op_idx"), F.when(F.col("event_type") == "view", "put_edge").otherwise("delete").alias("op"), node.alias("node"), edge.alias("edge"), F.when(F.col("event_type") == "error", F.col("user_id")).alias("node_id"))
     _, edges = changelog.state_at(log)
-    return edges.select("source", "target", F.expr("seq div 1000000").alias("lsn"))
+    return edges.select("source", "target", F.shiftright("seq", 31).alias("lsn"))
 
 
 @query("catalog_as_of", "WITH d AS (SELECT CAST(ts AS DATE) AS day, max(event_id) AS lsn, epoch_ms(max(ts)) AS at FROM events GROUP BY 1), t AS (SELECT event_id, epoch_ms(ts) AS at FROM events WHERE event_type = 'purchase'), j AS (SELECT t.event_id, max(d.at) AS seen FROM t LEFT JOIN d ON d.at <= t.at GROUP BY 1) SELECT j.event_id, 'wal-lsn-' || max(d.lsn) AS snapshot_id FROM j LEFT JOIN d ON d.at = j.seen GROUP BY 1")
@@ -616,6 +657,33 @@ def ingest_documents(spark, sf_dir):
     return rows.where("op = 'idempotency'").agg(F.count("*").alias("n_requests"))
 
 
+@query("ingest_one_chunk", f"WITH r AS (SELECT doc_id, text, sha256('text' || text) AS h, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS n FROM documents WHERE length(trim(text, ' \t\n\x0B\f\r')) BETWEEN 1 AND 1000), d AS (SELECT h, sha256(encode(h) || unhex('0000000000000000')) AS d FROM r WHERE n = 1) SELECT h AS key, 1::BIGINT AS n, {_u64('d')} AS id FROM d")
+def ingest_one_chunk(spark, sf_dir):
+    """Keys and node ids of the texts that fit one chunk."""
+    d = table(spark, sf_dir, "documents").where("length(trim(both ' \t\n\u000b\f\r' from text)) between 1 and 1000")
+    req = d.select(F.col("doc_id").alias("request_id"), F.col("text").alias("content"), F.create_map(F.lit("source"), "source").alias("metadata"), F.lit(None).cast("string").alias("idempotency_key"), F.lit(None).cast("string").alias("model_id"))
+    rows, _ = ingest.ingest(req, spark.createDataFrame([], "key string"), 1, dims=8)
+    return rows.where("op = 'idempotency'").select("idem.key", F.size("idem.ids").cast("bigint").alias("n"), F.element_at("idem.ids", 1).alias("id"))
+
+
+def _model_sql(words: list) -> str:
+    return " UNION ALL ".join(f"SELECT id, '{k}' AS entity, '{lab}' AS label, {c} AS confidence FROM t WHERE contains(lower(x), lower('{k}'))" for k, lab, c in words)
+
+
+@query("model_entities", "WITH t AS (SELECT event_id AS id, 'Rust ' || event_type || CASE event_id % 4 WHEN 0 THEN ' graph index' WHEN 1 THEN ' AI Database' WHEN 2 THEN ' company acquired' ELSE ' vector query' END AS x FROM events) " + " UNION ALL ".join(f"SELECT '{name}' AS model, id, entity, label, round(confidence::DOUBLE, 2) AS confidence FROM ({_model_sql(words)})" for name, words in (("mock-ner", ingest.MOCK), ("relation-lite", ingest.RELATION_SIGNALS), ("topic-lite", ingest.TOPICS))))
+def model_entities(spark, sf_dir):
+    """The three extraction models over texts that hold some of their keywords."""
+    m = F.col("event_id") % 4
+    more = F.when(m == 0, " graph index").when(m == 1, " AI Database").when(m == 2, " company acquired").otherwise(" vector query")
+    t = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.concat(F.lit("Rust "), "event_type", more).alias("x"))
+    models, out = ingest.default_models(), None
+    for name in ("mock-ner", "relation-lite", "topic-lite"):
+        each = t.select(F.lit(name).alias("model"), "id", F.explode(ingest.entities(F.col("x"), models.resolve(name))).alias("e"))
+        part = each.select("model", "id", F.col("e.text").alias("entity"), F.col("e.label").alias("label"), F.round(F.col("e.confidence").cast("double"), 2).alias("confidence"))
+        out = part if out is None else out.union(part)
+    return out
+
+
 # ---- jobs, metrics, governance, audit ------------------------------------------------------------
 
 
@@ -665,6 +733,18 @@ def bench_percentile_index(spark, sf_dir):
     return metrics.index_percentiles(table(spark, sf_dir, "events"), "value")
 
 
+@query("latency_split", "SELECT count(*) FILTER (event_type = 'purchase') AS write_n, quantile_disc(value, 0.5) FILTER (event_type = 'purchase') AS write_p50, quantile_disc(value, 0.95) FILTER (event_type = 'purchase') AS write_p95, quantile_disc(value, 0.99) FILTER (event_type = 'purchase') AS write_p99, count(*) FILTER (event_type <> 'purchase') AS read_n, quantile_disc(value, 0.5) FILTER (event_type <> 'purchase') AS read_p50, quantile_disc(value, 0.95) FILTER (event_type <> 'purchase') AS read_p95, quantile_disc(value, 0.99) FILTER (event_type <> 'purchase') AS read_p99 FROM events")
+def latency_split(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return metrics.latency_split(e.select((F.col("event_type") == "purchase").alias("is_write"), F.col("value").alias("latency")))
+
+
+@query("duration_text", "SELECT event_id, CASE WHEN ns < 1000 THEN ns || 'ns' WHEN ns < 1000000 THEN printf('%.2f', ns / 1000.0) || 'us' WHEN ns < 1000000000 THEN printf('%.2f', ns / 1000000.0) || 'ms' ELSE printf('%.2f', ns / 1000000000.0) || 's' END AS text, round(ns / 1000000.0, 6) AS ms FROM (SELECT event_id, event_id * event_id * event_id AS ns FROM events)")
+def duration_text(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") * F.col("event_id") * F.col("event_id")).alias("ns"))
+    return e.select("event_id", metrics.format_ns(F.col("ns")).alias("text"), F.round(metrics.to_ms(F.col("ns")), 6).alias("ms"))
+
+
 @query("read_quality", "SELECT count(*) AS reads, round(avg(CASE WHEN event_id % 4 > 0 THEN 1.0 ELSE 0 END), 5) AS evidence_rate, round(avg(CASE WHEN event_type = 'view' THEN CASE WHEN event_id % 4 > 0 THEN 1.0 ELSE 0 END END), 5) AS answer_evidence_rate, round(avg(CASE WHEN event_type = 'view' THEN CASE WHEN event_id % 3 > 0 THEN 1.0 ELSE 0 END END), 5) AS answer_citation_rate, round(avg(CASE WHEN event_type = 'click' THEN 1.0 ELSE 0 END), 5) AS hit_rate FROM events")
 def read_quality(spark, sf_dir):
     e = table(spark, sf_dir, "events")

@@ -74,5 +74,9 @@ def cached_matches(queries: DataFrame, entries: DataFrame, key_cols: list[str])
     q = queries.select("query_id", *key_cols, normalised("query").alias("q_text"), words("query").alias("q_words"))
     e = entries.select("entry_id", *key_cols, normalised("query").alias("e_text"), words("query").alias("e_words"))
     score = F.when(F.col("q_text") == F.col("e_text"), 1.0).otherwise(jaccard(F.col("q_words"), F.col("e_words")))
-    pairs = q.join(e, key_cols).withColumn("similarity", score).where(F.col("similarity") >= MIN_SIMILARITY)
+    # Of n words, a partner at the threshold shares one of the first n - ceil(threshold * n) + 1 in any common order (here by hash).
+    first = lambda c: F.expr(f"slice(array_sort(transform({c}, w -> xxhash64(w))), 1, cast(size({c}) - ceil({MIN_SIMILARITY} * size({c})) + 1 as int))")
+    met = lambda df, w, t: df.withColumn("met", F.explode(F.array_distinct(F.concat(first(w), F.array(F.xxhash64(t))))))
+    near = met(q, "q_words", "q_text").join(met(e, "e_words", "e_text"), [*key_cols, "met"]).select("query_id", "entry_id").distinct()
+    pairs = near.join(q, "query_id").join(e.drop(*key_cols), "entry_id").withColumn("similarity", score).where(F.col("similarity") >= MIN_SIMILARITY)
     return pairs.groupBy("query_id").agg(F.max(F.struct("similarity", -F.col("entry_id"))).alias("m")).select("query_id", (-F.col("m.col2")).alias("entry_id"), F.col("m.similarity").alias("similarity"))

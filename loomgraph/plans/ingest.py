@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.ids import chunk_hash, chunk_id, deterministic_embedding, entity_id, request_hash
 from loomgraph.functions.text import forbidden_word, mask_personal, tail
+from loomgraph.operators.numbering import running
+from loomgraph.runtime import materialise
 
 MAX_CHARS, OVERLAP, DIMS = 1000, 100, 768
 
@@ -51,10 +53,10 @@ def split_text(text: str, limit: int = MAX_CHARS) -> list[str]:
 def split_column(text: Column | str) -> Column:
     """The pieces of a text, by a pandas UDF."""
 
-    def run(texts):
+    def run(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: split_text(t or ""))
 
-    return F.pandas_udf(run, "array<string>", F.PandasUDFType.SCALAR)(text)
+    return F.pandas_udf(run, "array<string>")(text)
 
 
 def chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -119,6 +121,10 @@ class Models:
         return self.versions[name][self.active[name][-1]]
 
 
+#: A column of texts -> why each is rejected, or null.
+ContentPolicy = Callable[[Column], Column]
+
+
 def default_models() -> Models:
     m = Models()
     for name, words in (("mock-ner", MOCK), ("relation-lite", RELATION_SIGNALS), ("topic-lite", TOPICS)):
@@ -126,28 +132,32 @@ def default_models() -> Models:
     return m
 
 
-def ingest(requests: DataFrame, known_keys: DataFrame, lsn: int, forbidden: list[str] = (), mask: bool = False, dims: int = DIMS, model: str = "embedding-default-v1", splitter: Callable = split_column) -> tuple[DataFrame, DataFrame]:
+def ingest(requests: DataFrame, known_keys: DataFrame, lsn: int, forbidden: list[str] = (), mask: bool = False, dims: int = DIMS, model: str = "embedding-default-v1", splitter: Callable = split_column, policies: Sequence[ContentPolicy] = ()) -> tuple[DataFrame, DataFrame]:
     """requests(request_id, content, metadata, idempotency_key, model_id) -> (change rows, rejected).
 
     Requests whose key (or content hash, without one) is recorded are left out; of equal keys in one batch
-    the first request counts. A forbidden word rejects its request.
+    the first request counts. A forbidden word, or a policy that gives a reason, rejects its request.
     """
     keyed = requests.withColumn("content_hash", request_hash(F.lit("text"), F.col("content"))).withColumn("key", F.coalesce("idempotency_key", "content_hash"))
     fresh = keyed.join(known_keys.select("key"), "key", "left_anti")
     first = fresh.groupBy("key").agg(F.min("request_id").alias("request_id"))
     fresh = fresh.join(first, ["key", "request_id"], "left_semi")
-    word = forbidden_word("content", list(forbidden)) if forbidden else F.lit(None).cast("string")
+    words = [forbidden_word("content", list(forbidden))] if forbidden else []
+    word = F.coalesce(*words, *[p(F.col("content")) for p in policies], F.lit(None).cast("string"))
     checked = fresh.withColumn("forbidden", word)
     rejected = checked.where("forbidden is not null").select("request_id", "forbidden")
     ok = checked.where("forbidden is null").withColumn("content", mask_personal("content") if mask else F.col("content"))
     pieces = ok.select("request_id", "key", "content_hash", "metadata", F.coalesce("model_id", F.lit(model)).alias("model_id"), splitter("content").alias("pieces"))
+    # Operations are numbered through the transaction: each request's chunks, then its idempotency mark.
+    size = pieces.select("key", "request_id", (F.size("pieces") + 1).alias("ops"))
+    pieces = materialise(pieces.join(running(size, ["request_id", "key"], "ops", "first_op").select("key", "first_op"), "key"), "pieces")
     each = pieces.select("*", F.posexplode("pieces").alias("i", "piece"))
     before = F.when(F.col("i") > 0, tail(F.element_at("pieces", F.col("i")), OVERLAP))
     each = each.withColumn("text", F.concat(F.coalesce(before, F.lit("")), "piece"))
     stamps = {"content_hash": chunk_hash(F.col("text")), "model_id": F.col("model_id"), "idempotency_key": F.col("key"), "chunk_index": F.col("i").cast("string"), "chunk_chars": F.octet_length("text").cast("string"), "chunk_overlap": F.lit(str(OVERLAP))}
     meta = F.map_concat(F.map_filter("metadata", lambda k, _: ~k.isin(*stamps)), F.create_map(*[x for k, v in stamps.items() for x in (F.lit(k), v)]))
     node = F.struct(chunk_id(F.col("content_hash"), F.col("i")).alias("id"), deterministic_embedding(F.col("model_id"), F.col("text"), dims).alias("embedding"), F.col("text").alias("data"), meta.alias("metadata"))
-    puts = each.select(F.lit(lsn).cast("bigint").alias("lsn"), F.col("i").alias("op_idx"), F.lit("put").alias("op"), node.alias("node"), F.lit(None).cast("struct<source:bigint,target:bigint,relation:string,weight:float,metadata:map<string,string>>").alias("edge"), F.lit(None).cast("bigint").alias("node_id"), F.lit(None).cast("struct<key:string,ids:array<bigint>>").alias("idem"), "key")
+    puts = each.select(F.lit(lsn).cast("bigint").alias("lsn"), (F.col("first_op") + F.col("i")).cast("int").alias("op_idx"), F.lit("put").alias("op"), node.alias("node"), F.lit(None).cast("struct<source:bigint,target:bigint,relation:string,weight:float,metadata:map<string,string>>").alias("edge"), F.lit(None).cast("bigint").alias("node_id"), F.lit(None).cast("struct<key:string,ids:array<bigint>>").alias("idem"), "key")
     keys = puts.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("op_idx", "node.id"))), lambda x: x["id"]).alias("ids"), F.max("op_idx").alias("last"))
     marks = keys.select(F.lit(lsn).cast("bigint").alias("lsn"), (F.col("last") + 1).alias("op_idx"), F.lit("idempotency").alias("op"), F.struct("key", "ids").alias("idem"))
     return puts.drop("key").unionByName(marks, allowMissingColumns=True), rejected

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.operators.numbering import running
+
 LAST = 1000
 
 
@@ -26,12 +28,28 @@ def snapshot(log: DataFrame, n: int = LAST) -> DataFrame:
 def index_percentiles(values: DataFrame, column: str, ps: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
     """The value at place round((n - 1) * p) of the sorted values, for each p; by group of `column` counts, not a full sort in one task."""
     counts = values.groupBy(column).agg(F.count("*").alias("c"))
-    upto = F.sum("c").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, 0))
-    total = counts.agg(F.sum("c").alias("n"))
-    placed = counts.withColumn("upto", upto).crossJoin(F.broadcast(total))  # total is one row
+    placed = running(counts, [column], "c", "before").withColumn("upto", F.col("before") + F.col("c"))
+    placed = placed.crossJoin(F.broadcast(counts.agg(F.sum("c").alias("n"))))  # one row
     return placed.agg(*[F.min(F.when(F.col("upto") > F.round((F.col("n") - 1) * p), F.col(column))).alias(f"p{round(100 * p)}") for p in ps])
 
 
+def latency_split(log: DataFrame) -> DataFrame:
+    """One row: count and percentiles of the writes and of the reads of log(is_write, latency)."""
+    of = lambda write: F.when(F.col("is_write") == write, F.col("latency"))
+    sides = log.select(of(True).alias("write"), of(False).alias("read"))
+    return sides.agg(*[f for side in ("write", "read") for f in (F.count(side).alias(f"{side}_n"), *[nearest_rank(side, p).alias(f"{side}_p{round(100 * p)}") for p in (0.5, 0.95, 0.99)])])
+
+
+def to_ms(ns: Column) -> Column:
+    return ns / 1_000_000.0
+
+
+def format_ns(ns: Column) -> Column:
+    """A duration in the largest unit of ns, us, ms and s that leaves 1 or more, with two decimals (halves to even) above ns."""
+    part = lambda by, unit: F.concat(F.format_string("%.2f", F.bround(ns / F.lit(float(by)), 2)), F.lit(unit))
+    return F.when(ns < 1_000, F.concat(ns.cast("bigint").cast("string"), F.lit("ns"))).when(ns < 1_000_000, part(1_000, "us")).when(ns < 1_000_000_000, part(1_000_000, "ms")).otherwise(part(1_000_000_000, "s"))
+
+
 def read_quality(reads: DataFrame) -> DataFrame:
     """Rates over reads(is_answer, n_evidence, n_citations, hit, groundedness)."""
     rate = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))

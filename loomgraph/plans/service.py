@@ -9,19 +9,26 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.operators import lookup
 from loomgraph.plans import ingest as ingestion
 from loomgraph.plans.cache import SemanticCache
 from loomgraph.plans.engine import DEFAULT_MODEL, Engine, Response
 from loomgraph.plans.request import MAX_DEPTH, MAX_K, InvalidQuery, Request, as_of_millis, plan
 from loomgraph.plans.security import Principal, Resource, authorize
 from loomgraph.plans.session import Sessions, overlay_edges, overlay_nodes
+from loomgraph.runtime import materialise
 from loomgraph.sources import changelog
+from loomgraph.streaming.jobs import DurableJobs
 
 
 class NotFound(LookupError):
     code = "NOT_FOUND"
 
 
+class DanglingEdge(InvalidQuery):
+    """An edge of a transaction has an end that is not there when its turn comes."""
+
+
 class StoreUnavailable(OSError):
     """Reading or writing the log failed; worth another try."""
 
@@ -41,20 +48,41 @@ class Store:
     def __init__(self, spark: SparkSession, path: str, clock: Callable[[], float] = time.time):
         self.spark, self.path, self.clock = spark, path, clock
         self.catalog: list[tuple[int, int]] = []  # (created_at_ms, lsn), ascending
+        self.cuts: list[tuple[int, int]] = []  # (after, upto): LSNs in between are truncated
         try:
             rows = spark.read.parquet(f"{path}/catalog").groupBy("lsn").agg(F.min("created_at_ms").alias("at")).orderBy("lsn").collect()
             self.catalog = [(r.at, r.lsn) for r in rows]
+            self.cuts = [(r.after, r.upto) for r in spark.read.schema("after bigint, upto bigint").parquet(f"{path}/cuts").collect()]  # one row per truncation
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
 
     @property
     def lsn(self) -> int:
-        return self.catalog[-1][1] if self.catalog else 0
+        return next((n for _, n in reversed(self.catalog) if not self._cut(n)), 0)
+
+    def _cut(self, lsn: int) -> bool:
+        return any(after < lsn <= upto for after, upto in self.cuts)
+
+    def truncate_after(self, lsn: int) -> None:
+        """Later transactions no longer count; their LSNs are not used again."""
+        last = self.catalog[-1][1] if self.catalog else 0
+        if lsn < last:
+            self.spark.createDataFrame([(lsn, last)], "after bigint, upto bigint").coalesce(1).write.mode("append").parquet(f"{self.path}/cuts")
+            self.cuts.append((lsn, last))
+
+    def validate(self, changes: DataFrame) -> None:
+        """Every edge needs both ends, before the transaction or by an earlier operation of it."""
+        if changes.where("op = 'put_edge'").isEmpty():
+            return
+        bad = changelog.violations(changes, changelog.state_at(self.log(), self.lsn)[0]).orderBy("op_idx").limit(3).collect()
+        if bad:
+            raise DanglingEdge("; ".join(f"operation {r.op_idx}: {r.source}-{r.relation}->{r.target} misses node {r.missing}" for r in bad))
 
     def append(self, changes: DataFrame) -> int:
-        """Writes the rows as the next transaction and its catalog entry; returns the LSN."""
-        lsn = self.lsn + 1
+        """Validates the rows and writes them as the next transaction with its catalog entry; returns the LSN."""
+        self.validate(changes)
+        lsn = (self.catalog[-1][1] if self.catalog else 0) + 1
         try:
             changelog.append(changes.drop("lsn"), f"{self.path}/log", lsn)
         except Exception as e:
@@ -69,7 +97,10 @@ class Store:
             from loomgraph.schema import CHANGE
 
             return self.spark.createDataFrame([], CHANGE)
-        return changelog.read(self.spark, f"{self.path}/log").where(F.col("lsn") <= self.lsn)
+        cut = F.lit(False)
+        for after, upto in self.cuts:
+            cut = cut | ((F.col("lsn") > after) & (F.col("lsn") <= upto))
+        return changelog.read(self.spark, f"{self.path}/log").where((F.col("lsn") <= self.lsn) & ~cut)
 
     def resolve(self, request: Request) -> Snapshot:
         """A named snapshot, else the last one at or before a time, else the head."""
@@ -77,18 +108,68 @@ class Store:
             number = request.snapshot_id.removeprefix("wal-lsn-")
             if not request.snapshot_id.startswith("wal-lsn-") or not number.isdigit():
                 raise InvalidQuery(f"snapshot_id must be wal-lsn-<lsn>: {request.snapshot_id}")
-            if int(number) > self.lsn:
+            if int(number) > self.lsn or self._cut(int(number)):
                 raise NotFound(f"snapshot_id {request.snapshot_id}")
             return Snapshot(request.snapshot_id, int(number), True)
         if request.time_travel:
             at = as_of_millis(request.time_travel)
-            seen = [lsn for made, lsn in self.catalog if made <= at]
+            seen = [lsn for made, lsn in self.catalog if made <= at and not self._cut(lsn)]
             if not seen:
                 raise NotFound(f"time_travel {request.time_travel}")
             return Snapshot(f"wal-lsn-{seen[-1]}", seen[-1], True)
         return Snapshot(f"wal-lsn-{self.lsn}", self.lsn, False)
 
 
+@dataclass(frozen=True)
+class FlushPolicy:
+    """When buffered transactions become durable: each at once, after some time, or after a number of them."""
+
+    kind: str = "always"
+    interval_ms: int = 15
+    batch: int = 32
+
+    def due(self, waiting: int, since_ms: float) -> bool:
+        return waiting > 0 and (self.kind == "always" or (self.kind == "interval" and since_ms >= self.interval_ms) or (self.kind == "batch" and waiting >= self.batch))
+
+    def trigger(self) -> dict:
+        """The same as options of writeStream.trigger."""
+        return {"processingTime": f"{self.interval_ms} milliseconds"} if self.kind == "interval" else {"processingTime": "0 seconds"}
+
+
+@dataclass
+class Buffered:
+    """Group commit before a store: transactions get their LSN when submitted and are written together when the policy says so."""
+
+    store: Store
+    policy: FlushPolicy = field(default_factory=FlushPolicy)
+    clock: Callable[[], float] = time.monotonic
+    waiting: list[DataFrame] = field(default_factory=list)
+    first: float = 0.0
+
+    @property
+    def durable_lsn(self) -> int:
+        return self.store.lsn
+
+    @property
+    def current_lsn(self) -> int:
+        return self.store.lsn + len(self.waiting)
+
+    def submit(self, changes: DataFrame) -> int:
+        if not self.waiting:
+            self.first = self.clock()
+        self.waiting.append(changes)
+        lsn = self.current_lsn
+        if self.policy.due(len(self.waiting), (self.clock() - self.first) * 1000):
+            self.flush()
+        return lsn
+
+    def flush(self) -> int:
+        while self.waiting:
+            self.store.append(self.waiting[0])
+            self.waiting.pop(0)
+        return self.durable_lsn
+
+
 @dataclass
 class Reply:
     """A response, or an error with its code; never an exception."""
@@ -110,6 +191,7 @@ class Service:
     forbidden: list[str] = field(default_factory=list)
     mask: bool = False
     dims: int = ingestion.DIMS
+    jobs: DurableJobs | None = None
 
     def _audit(self, **event) -> None:
         if self.audit:
@@ -143,14 +225,35 @@ class Service:
             self._audit(operation="query", outcome="failed", tenant=tenant, snapshot_id=None)
             return Reply(None, error_code=getattr(e, "code", "INTERNAL"), message=str(e))
 
-    def ingest(self, requests: DataFrame, who: Principal | None = None) -> tuple[int, DataFrame]:
-        """requests as for plans.ingest -> (LSN, rejected requests)."""
+    def insert_edges_to_session(self, session_id: str, edges: DataFrame, owner: str | None = None) -> None:
+        """edges(source, target, relation, weight, metadata, seq) of the session alone."""
+        self.sessions.get(session_id, owner)
+        self.sessions.add(session_id, edges=edges, owner=owner)
+
+    def node_ids(self, session_id: str | None = None, owner: str | None = None) -> DataFrame:
+        """The sorted ids of the store, and of the session if given."""
+        session = self.sessions.get(session_id, owner) if session_id else None
+        return lookup.node_ids(changelog.state_at(self.store.log(), self.store.lsn)[0], session.nodes if session else None)
+
+    def ingest(self, requests: DataFrame, who: Principal | None = None, session_id: str | None = None, owner: str | None = None) -> tuple[int, DataFrame]:
+        """requests as for plans.ingest -> (LSN, rejected requests).
+
+        With a session the nodes go there and nothing is stored (the LSN stays). With a job queue each stored
+        chunk is enqueued for extraction, so vectors come first and entities later.
+        """
         if who:
             authorize(who, Resource(who.tenant, "ingest"))
             requests = requests.withColumn("metadata", F.map_concat(F.map_filter("metadata", lambda k, _: k != "tenant"), F.create_map(F.lit("tenant"), F.lit(who.tenant))))
         known = changelog.first_writes(self.store.log()).select("key")
         rows, rejected = ingestion.ingest(requests, known, self.store.lsn + 1, self.forbidden, self.mask, self.dims)
+        if session_id is not None:
+            self.sessions.get(session_id, owner)
+            self.sessions.add(session_id, materialise(rows.where("op = 'put'").select("node.*"), "session-nodes"), owner=owner)
+            return self.store.lsn, rejected
+        rows = materialise(rows, "changes")
         lsn = self.store.append(rows)
+        if self.jobs:
+            self.jobs.enqueue(rows.where("op = 'put'").select(F.col("node.id").alias("node_id"), F.col("node.data").alias("content"), F.col("node.metadata")["model_id"].alias("model_id"), F.lit(f"wal-lsn-{lsn}").alias("snapshot_id")))
         self._audit(operation="ingest", outcome="succeeded", tenant=who.tenant if who else None, snapshot_id=f"wal-lsn-{lsn}")
         return lsn, rejected
 

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.operators.numbering import running
+
 EVENT = "sequence bigint, operation string, outcome string, actor string, tenant string, model_id string, snapshot_id string, metadata map<string,string>"
 
 
 def sequenced(events: DataFrame, order: list[str], after: int = 0) -> DataFrame:
-    """Events numbered in order from after + 1. One writer numbers one batch, so the window holds a batch."""
-    return events.withColumn("sequence", F.row_number().over(Window.orderBy(*order)) + after)
+    """Events numbered in order from after + 1; ties of the order have no order."""
+    return running(events, order, None, "sequence").withColumn("sequence", F.col("sequence") + after + 1)
 
 
 def last_sequence(spark: SparkSession, path: str) -> int:

@@ -45,7 +45,7 @@ def state_at(log: DataFrame, lsn: int | None = None) -> tuple[DataFrame, DataFra
     s, t = gone.select(F.col("id").alias("source"), F.col("gone").alias("s_gone")), gone.select(F.col("id").alias("target"), F.col("gone").alias("t_gone"))
     alive = edges.join(s, "source", "left").join(t, "target", "left").where("(s_gone is null or w.at > s_gone) and (t_gone is null or w.at > t_gone)")
     # A later write goes to the end of its source's list, so its place is its time.
-    return nodes, alive.select("source", "target", "relation", "w.weight", "w.metadata", (F.col("w.at.lsn") * 1_000_000 + F.col("w.at.op_idx")).alias("seq"))
+    return nodes, alive.select("source", "target", "relation", "w.weight", "w.metadata", (F.shiftleft(F.col("w.at.lsn"), 31) + F.col("w.at.op_idx")).alias("seq"))
 
 
 def first_writes(log: DataFrame) -> DataFrame:
@@ -102,8 +102,27 @@ def backup(nodes: DataFrame, edges: DataFrame, keys: DataFrame, path: str, lsn:
         df.write.mode("overwrite").parquet(f"{path}/lsn={lsn:020d}/{name}")
 
 
-def restore(spark: SparkSession, path: str, lsn: int, log: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """State at the head from the base snapshot at lsn and the log after it."""
+def snapshots(spark: SparkSession, path: str) -> list[int]:
+    """LSNs of the complete base snapshots under a path, ascending."""
+    base = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = base.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(base):
+        return []
+    found = [f.getPath() for f in files.listStatus(base) if f.getPath().getName().startswith("lsn=")]
+    done = lambda p: all(files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, f"{t}/_SUCCESS")) for t in ("nodes", "edges", "idempotency"))
+    return sorted(int(p.getName().removeprefix("lsn=")) for p in found if done(p))
+
+
+def latest_snapshot(spark: SparkSession, path: str, bound: int | None = None) -> int | None:
+    """The greatest snapshot LSN at or before a bound."""
+    return max((n for n in snapshots(spark, path) if bound is None or n <= bound), default=None)
+
+
+def restore(spark: SparkSession, path: str, lsn: int | None, log: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """State at the head from the base snapshot at lsn (the latest, without one) and the log after it; from the log alone if there is none."""
+    lsn = latest_snapshot(spark, path) if lsn is None else lsn
+    if lsn is None:
+        return state_at(log)
     base_nodes = spark.read.parquet(f"{path}/lsn={lsn:020d}/nodes").select(F.lit(lsn).cast("bigint").alias("lsn"), F.lit(-1).alias("op_idx"), F.lit("put").alias("op"), F.struct("id", "embedding", "data", "metadata").alias("node"))
     base_edges = spark.read.parquet(f"{path}/lsn={lsn:020d}/edges").select(F.lit(lsn).cast("bigint").alias("lsn"), F.lit(0).alias("op_idx"), F.lit("put_edge").alias("op"), F.struct("source", "target", "relation", "weight", "metadata").alias("edge"))
     both = base_nodes.unionByName(base_edges, allowMissingColumns=True).unionByName(log.where(F.col("lsn") > lsn), allowMissingColumns=True)

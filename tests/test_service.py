@@ -55,3 +55,66 @@ def test_settings(tmp_path):
     (tmp_path / "production.json").write_text('{"server": {"port": 2}}')
     assert config.load(str(tmp_path), {"RUN_MODE": "production", "LOOMGRAPH_SERVER__HOST": "b"}) == {"server": {"port": 2, "host": "b"}}
     assert config.StorageProfile("gpu_vram").resolved()[2] and config.StorageProfile().resolved() == ("cpu_memory", "disabled", None)
+
+
+def change(spark, rows):
+    from loomgraph.schema import CHANGE
+
+    return spark.createDataFrame(rows, CHANGE)
+
+
+def test_transactions_are_validated_and_truncated(spark, tmp_path):
+    import pytest
+
+    from loomgraph.plans.service import Buffered, DanglingEdge, FlushPolicy
+
+    store = Store(spark, str(tmp_path / "store"))
+    node = lambda i, n: (None, i, "put", (n, [1.0], f"n{n}", {}), None, None, None)
+    edge = lambda i, s, t: (None, i, "put_edge", None, (s, t, "r", 1.0, {}), None, None)
+    assert store.append(change(spark, [node(0, 1), node(1, 2), edge(2, 1, 2)])) == 1
+    for bad in ([edge(0, 1, 9)], [edge(0, 1, 3), node(1, 3)]):
+        with pytest.raises(DanglingEdge):
+            store.append(change(spark, bad))
+    assert store.lsn == 1 and store.append(change(spark, [node(0, 3), edge(1, 1, 3)])) == 2
+    store.truncate_after(1)
+    assert store.lsn == 1 and store.append(change(spark, [node(0, 4)])) == 3
+    again = Store(spark, str(tmp_path / "store"))
+    from loomgraph.sources import changelog
+
+    assert again.lsn == 3 and {r.id for r in changelog.state_at(again.log())[0].collect()} == {1, 2, 4}
+    assert Service(again).query(Request("x", snapshot_id="wal-lsn-2")).error_code == "NOT_FOUND"
+    late = Buffered(again, FlushPolicy("batch", batch=2))
+    assert late.submit(change(spark, [node(0, 5)])) == 4 and (late.durable_lsn, late.current_lsn) == (3, 4)
+    assert late.submit(change(spark, [node(0, 6)])) == 5 and late.durable_lsn == 5
+    assert FlushPolicy().due(1, 0) and not FlushPolicy("interval").due(1, 3) and FlushPolicy("interval").trigger() == {"processingTime": "15 milliseconds"}
+    nodes, edges = changelog.state_at(again.log())
+    for lsn in (3, 5):
+        changelog.backup(nodes, edges.drop("seq"), changelog.first_writes(again.log()), str(tmp_path / "base"), lsn)
+    assert changelog.snapshots(spark, str(tmp_path / "base")) == [3, 5] and changelog.latest_snapshot(spark, str(tmp_path / "base"), 4) == 3
+    assert changelog.latest_snapshot(spark, str(tmp_path / "base"), 2) is None and changelog.snapshots(spark, str(tmp_path / "none")) == []
+    assert changelog.restore(spark, str(tmp_path / "base"), None, again.log())[0].count() == 5
+
+
+def test_sessions_jobs_and_ids(spark, tmp_path):
+    from loomgraph.plans.ingest import default_models
+    from loomgraph.streaming.jobs import DurableJobs
+
+    s = Service(Store(spark, str(tmp_path / "store")), dims=8, jobs=DurableJobs(spark, str(tmp_path / "jobs")))
+    s.ingest(spark.createDataFrame([(1, "the Rust language", {}, None, "mock-ner"), (2, "a Graph of it", {}, None, None)], REQ))
+    assert s.jobs.pending().count() == 2 and s.jobs.run(default_models(), s.store.append) == 2 and s.store.lsn == 2
+    assert s.node_ids().count() == 4 and s.jobs.pending().count() == 0
+    s.ingest(spark.createDataFrame([(3, "only in the session", {}, None, None)], REQ), session_id="s1", owner="ada")
+    assert s.store.lsn == 2 and s.node_ids("s1", "ada").count() == 5 and s.node_ids().count() == 4
+    log = s.store.log().where("lsn = 1")
+    assert log.count() == log.select("op_idx").distinct().count() == 4
+
+
+def test_odd_requests_are_answered():
+    from loomgraph.plans.request import InvalidQuery
+
+    for raw in ({"filters": {"time_range": {"from": "2024-01-01"}}}, {"filters": {"entity_type": [1]}}, {"filters": []}, {"traversal": "x"}, {"filters": {"relation_type": "a"}}, {"model_id": 3}, {"filters": {"time_range": "2024"}}):
+        try:
+            Request.parse(json.dumps({"query": "q"} | raw))
+        except InvalidQuery:
+            continue
+        assert raw == {"filters": []}
