@@ -44,10 +44,39 @@ def to_ms(ns: Column) -> Column:
     return ns / 1_000_000.0
 
 
-def format_ns(ns: Column) -> Column:
-    """A duration in the largest unit of ns, us, ms and s that leaves 1 or more, with two decimals (halves to even) above ns."""
-    part = lambda by, unit: F.concat(F.format_string("%.2f", F.bround(ns / F.lit(float(by)), 2)), F.lit(unit))
-    return F.when(ns < 1_000, F.concat(ns.cast("bigint").cast("string"), F.lit("ns"))).when(ns < 1_000_000, part(1_000, "us")).when(ns < 1_000_000_000, part(1_000_000, "ms")).otherwise(part(1_000_000_000, "s"))
+def rounded(x: Column, places: int) -> Column:
+    """A double rounded as SQL engines do it, by a product and a quotient, halves away from zero.
+
+    `F.round` goes by the shortest decimal, which for large values can be another double.
+    """
+    y = x * F.lit(float(10**places))
+    even = F.rint(y)
+    return F.when(F.abs(y - even) == 0.5, y + F.signum(y) * 0.5).otherwise(even) / F.lit(float(10**places))
+
+
+def two_decimals(x: Column) -> Column:
+    """printf's %.2f of a double of at least 1: its exact binary value to hundredths, halves to even.
+
+    Java's formatter and `bround` decide by the shortest decimal of the double, which can be a half where the double isn't.
+    """
+    whole, bits = x.cast("bigint"), 1 << 52
+    parts = (x - whole.cast("double")) * F.lit(float(bits))  # a whole number, as x has 52 bits below its point at most
+    scaled = parts.cast("bigint") * 100
+    down, rest = F.shiftright(scaled, 52), scaled.bitwiseAND(F.lit(bits - 1))
+    up = (rest > bits // 2) | ((rest == bits // 2) & (down % 2 == 1))
+    cents = down + up.cast("bigint")
+    return F.concat((whole + (cents == 100).cast("bigint")).cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
+
+
+def format_ns(ns: Column, real: Column | None = None) -> Column:
+    """A duration in the largest unit of ns, us, ms and s that leaves 1 or more, with two decimals above ns.
+
+    `real` is ns as a double, for callers whose ns is a whole decimal: the conversion is slow and needed several times.
+    """
+    real = ns.cast("double") if real is None else real
+    unit = lambda *u: F.when(real < 1_000_000, u[0]).when(real < 1_000_000_000, u[1]).otherwise(u[2])
+    above = F.concat(two_decimals(real / unit(1e3, 1e6, 1e9)), unit("us", "ms", "s"))  # formatted in one place: three make code too long to be compiled
+    return F.when(real < 1_000, F.concat(ns.cast("decimal(38,0)").cast("string"), F.lit("ns"))).otherwise(above)
 
 
 def read_quality(reads: DataFrame) -> DataFrame:
