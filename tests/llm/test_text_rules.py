@@ -122,6 +122,29 @@ def test_labelled_sample_is_the_least_hashes(spark):
     assert got == want and quality.labelled_sample(labels, 6000).count() == 5000
 
 
+def test_quality_uses_every_label(spark):
+    """More labels than any sample had: target counts and held-out scores come from all of them."""
+    import math
+    from collections import Counter
+
+    kinds = [" ".join(f"w{(k + 1) * j % 41}" for j in range(12 + k)) for k in range(8)]
+    n, good = 54_000, Counter(i % 8 for i in range(54_000) if i % 3 and i % 7)
+    docs = spark.range(n).selectExpr("id as doc_id", f"element_at(array({','.join(repr(k) for k in kinds)}), cast(id % 8 + 1 as int)) as text")
+    labels = spark.range(n).selectExpr("id as doc_id", "if(id % 3 > 0 and id % 7 > 0, 1, 0) as quality")
+    scored = quality.quality(docs, labels)
+    assert scored.where("held_out is not null").count() == sum(good.values()) == scored.where("doc_id % 3 > 0 and doc_id % 7 > 0 and held_out is not null").count()
+    cells = [quality.ngram_buckets(word_hashes(utf8(t), *word_spans(utf8(t)))).tolist() for t in kinds]
+    raw, target = Counter(), Counter()
+    for k, own in enumerate(cells):
+        for c in own:
+            raw[c] += n // 8
+            target[c] += good[k]
+    smooth = lambda of, c: math.log((of[c] + 0.5) / (sum(of.values()) + 0.5 * quality.BUCKETS))
+    for r in scored.where("doc_id < 8").collect():
+        own = cells[r.doc_id]
+        assert abs(r.llr - sum(smooth(target, c) - smooth(raw, c) for c in own) / len(own)) < 1e-8
+
+
 def test_personal_data(spark):
     tens = [(i, f"note {i} my badge AB-{10000 + i} was lost, call desk at +1 (415) 555-{1000 + i} today") for i in range(8)]
     more = [(50 + i, f"please call desk at 5550{i}19 today") for i in range(3)]
