@@ -78,3 +78,49 @@ def test_hot_texts_and_long_texts(spark, monkeypatch):
     rows = [(i, "one text that many rows hold") for i in range(10, 60)] + [(1, long), (2, long + " and more"), (3, None)]
     got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: 10 for i in range(10, 60)} | {1: 1, 2: 1, 3: 3}
+
+
+def test_components_match_a_walk(spark):
+    from loomgraph.llm.components import components
+
+    rng = random.Random(5)
+    path = [(i, i + 1) for i in range(100, 160)]
+    rng.shuffle(path)
+    star = [(300, i) for i in range(301, 340)] + [(i, 290) for i in range(335, 338)]
+    edges = path + star + [(b, a) for a, b in star[:5]] + [(7, 7), (2, -4), (2, 9), (9, 2)] + [(rng.randrange(1000, 1100), rng.randrange(1000, 1100)) for _ in range(60)]
+    root = {x: x for e in edges for x in e if e[0] != e[1]}
+    for _ in root:
+        for u, v in edges:
+            if u != v:
+                root[u] = root[v] = min(root[u], root[v])
+    got = sorted(tuple(r) for r in components(spark.createDataFrame(edges, "u long, v long").repartition(3)).collect())
+    assert got == sorted(root.items())
+    assert components(spark.createDataFrame([], "u long, v long")).collect() == []
+
+
+def tasks_of(spark, run):
+    """The tasks that run() takes, skipped stages left out."""
+    sc = spark.sparkContext
+    sc.setJobGroup("counted", "counted")
+    try:
+        run()
+        tracker = sc.statusTracker()
+        stages = {s for job in tracker.getJobIdsForGroup("counted") for s in tracker.getJobInfo(job).stageIds}
+        return sum(info.numCompletedTasks for s in stages if (info := tracker.getStageInfo(s)))
+    finally:
+        sc._jsc.clearJobGroup()
+
+
+def test_a_run_takes_few_tasks(spark):
+    """With many partitions of few rows the tasks themselves are the cost. Texts are met once, and a component that is settled costs no further round."""
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k, None) for k in held}
+    docs = spark.createDataFrame(corpus(6, 3), "doc_id long, text string").repartition(3)
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        tasks = tasks_of(spark, lambda: near_duplicates(docs).write.format("noop").mode("overwrite").save())
+        assert 0 < tasks < 2500
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
